@@ -38,6 +38,7 @@ class Scratch:
         """Write ``df`` and return it read back."""
         path, self.n = f"{self.base}/{self.n}", self.n + 1
         df.write.option("compression", "zstd").parquet(path)
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of the finished plan
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

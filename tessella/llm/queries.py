@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, packing, sharding
+from . import decontam, line_dedup, packing, sharding, substring_dedup
 from .common import read, text_of
 
 #: Place of the public vocabulary files.
@@ -26,6 +26,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 50 words that also start in a smaller doc_id."""
+    out = substring_dedup.dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 benchmark words in whole documents."""
     found = decontam.find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
@@ -62,6 +69,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op8_shuffle_shards": op8_shuffle_shards,
     "op10_best_two_fit": op10_best_two_fit,
