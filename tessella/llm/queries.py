@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, packing, sharding, substring_dedup
+from . import decontam, line_dedup, minhash_dedup, packing, sharding, substring_dedup
 from .common import read, text_of
 
 #: Place of the public vocabulary files.
@@ -47,6 +47,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents at Jaccard 0.85 or more on 3-word shingles."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash_dedup.near_duplicates(docs, width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in one random order over 16 shards; row counts differ by one at most."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_shuffle_shards": op8_shuffle_shards,
     "op10_best_two_fit": op10_best_two_fit,
 }
