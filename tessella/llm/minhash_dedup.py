@@ -188,6 +188,12 @@ def near_duplicates(
     classes = profile.where("id is not null and n > 0").groupBy("n", "k1", "k2").agg(of_class.alias("m"))
     classes = scratch.put(classes.select("n", "k1", "k2", F.col("m.id").alias("rep"), F.col("m.bands").alias("bands")))
 
+    member = profile.where("id is not null and n > 0").select("id", "n", "k1", "k2").distinct().join(classes.drop("bands"), ["n", "k1", "k2"])
+    member = scratch.put(member.select("id", "rep"))
+    # An id with several texts joins their classes.
+    several = member.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("id")
+    tied = member.join(scratch.put(several), "id").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+
     banded = classes.select("rep", "n", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
     hubs = scratch.put(hubs.select("band", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n")))
@@ -199,7 +205,7 @@ def near_duplicates(
     members = buckets.select(F.col("rep").alias("id")).distinct()
     mine = texts.join(members, "id").dropDuplicates(["id", "th"])
     sets = scratch.put(mine.mapInArrow(_sets(width), f"id {kind}, s array<long>").where(F.size("s") > 0))
-    links = scratch.put(_verified(pairs, sets, percent))
+    links = scratch.put(_verified(pairs, sets, percent).unionByName(tied))
     groups = scratch.put(components(links, scratch))
 
     # A bucket that its star left in several components is open: its members outside its largest component are
@@ -221,14 +227,10 @@ def near_duplicates(
     groups = scratch.put(components(links, scratch))
     scratch.drop(labelled, parts, cells)
 
-    found = classes.join(groups, classes["rep"] == groups["node"], "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
-    found = scratch.put(found)
-    by_id = profile.where("id is not null and n > 0").select("id", "n", "k1", "k2").distinct().join(found, ["n", "k1", "k2"])
-    # An id may come with several texts: it belongs to the least component that they reach.
-    by_id = by_id.groupBy("id").agg(F.min("component").alias("component"))
+    by_id = member.join(groups, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     by_row = profile.groupBy("id", "th").agg(F.max("n").alias("n")).join(by_id, "id", "left")
     by_row = scratch.put(by_row.select(F.col("id").alias("row_id"), F.col("th").alias("row_th"), "n", F.coalesce("component", "id").alias("component")))
-    scratch.drop(profile, classes, buckets, sets, hubs, found)
+    scratch.drop(profile, classes, member, buckets, sets, hubs)
 
     docs = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(id_col).alias("id"), text_key.alias("th"))
     out = docs.join(by_row.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("row_id")) & (F.col("th") == F.col("row_th")), "left")
