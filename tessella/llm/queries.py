@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, minhash_dedup, packing, sharding, substring_dedup
+from . import decontam, embedding_dedup, line_dedup, minhash_dedup, packing, sharding, substring_dedup
 from .common import read, text_of
 
 #: Place of the public vocabulary files.
@@ -33,6 +33,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label at cosine 0.98 or more."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return embedding_dedup.near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 benchmark words in whole documents."""
     found = decontam.find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
@@ -76,6 +82,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_shuffle_shards": op8_shuffle_shards,
