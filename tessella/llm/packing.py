@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch
+from .wordhash import text_chunks
 
 #: Encoded chunks that a worker remembers; a full memory is emptied, results don't depend on it.
 REMEMBERED = 400_000
@@ -22,21 +26,20 @@ class Encoder:
     """Ids of whole texts, little-endian 32-bit. The tokenizer never joins across ASCII white space, so each chunk is encoded once."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def ids(self, text: bytes) -> bytes:
-        chunks = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            todo = list(set(chunks).difference(self.known))
-            for c, e in zip(todo, self.tokenizer.encode_batch([c.decode() for c in todo], add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(self.known.__getitem__, chunks))
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        cut = [(t or b"").split() for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        todo = list(set().union(*cut).difference(self.known))
+        for c, e in zip(todo, self.tokenizer.encode_batch_fast([c.decode() for c in todo], add_special_tokens=False), strict=True):
+            ids = e.ids
+            self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
+        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
 
 def tokenise(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
@@ -46,8 +49,9 @@ def tokenise(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
         encoder, end = Encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                got = encoder.ids(text or b"") + end
+            texts = batch.column(1).to_pylist()
+            for i, got in enumerate(chain.from_iterable(encoder.ids(texts[a:b]) for a, b in text_chunks(texts))):
+                got += end
                 for k, at in enumerate(range(0, len(got), 4 * capacity)):
                     part = got[at : at + 4 * capacity]
                     rows.append(i)
@@ -65,7 +69,7 @@ def tokenise(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
