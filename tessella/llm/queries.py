@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embedding_dedup, line_dedup, minhash_dedup, packing, sharding, substring_dedup
+from . import context_tree, decontam, embedding_dedup, line_dedup, minhash_dedup, packing, sharding, substring_dedup
 from .common import read, text_of
 
 #: Place of the public vocabulary files.
@@ -20,6 +20,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text under a context tree learnt from six sevenths of the documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    scored = context_tree.score_documents(docs, ~held_out, keep_text=False)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least 20 code points in at least 3 documents stay in the largest doc_id alone."""
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -80,6 +88,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_context_tree": op1_context_tree,
     "op2_line_dedup": op2_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
