@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
+import sys
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -19,34 +22,89 @@ from .common import Scratch
 from .wordhash import text_chunks
 
 #: Encoded chunks that a worker remembers; a full memory is emptied, results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+
+
+#: ASCII signs that never join a letter before them in one pre-token (the apostrophe does), and bytes of what may compose with its neighbours.
+SIGNS, COMPOSING = rb"!\"#$%&()*+,-./:;<=>?@[\]^_`{|}~", re.compile(rb"[\xcc-\xf4]")
+
+
+def byte_letters() -> dict[int, str]:
+    """Letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    plain = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+    return {c: chr(c) for c in plain} | {c: chr(256 + i) for i, c in enumerate(c for c in range(256) if c not in plain)}
 
 
 class Encoder:
-    """Ids of whole texts, little-endian 32-bit. The tokenizer never joins across ASCII white space, so each chunk is encoded once."""
+    """Ids of whole texts, little-endian 32-bit, as the lower-casing word-level BPE tokenizer at ``path`` gives them.
+
+    It never joins across ASCII white space, so each chunk between is encoded once. Words of letters below U+0300, alone
+    or before signs, need no normalisation but lower case and go to the model directly; all else goes through the tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), {}, byte_letters()
+        self.model = self.tokenizer.model
+
+    @staticmethod
+    def of_worker(path: str) -> Encoder:
+        """The encoder of this Python worker, which outlives a task."""
+        memory = sys.modules.setdefault("tessella_worker_memory", ModuleType("tessella_worker_memory"))
+        if path not in memory.__dict__:
+            memory.__dict__[path] = Encoder(path)
+        return memory.__dict__[path]
+
+    def whole(self, chunks: list[bytes]) -> None:
+        for c, e in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True):
+            self.known[c] = _pack(e.ids)
+
+    def learn(self, chunks: set[bytes]) -> None:
+        known, tokenize, letters, odd, signed = self.known, self.model.tokenize, self.letters, [], []
+        for c in chunks:
+            w = c.rstrip(SIGNS)
+            if w is not c and w != c:
+                signed.append((c, w, c[len(w) :]))
+            elif not self.word(c, c.decode(), tokenize, letters):
+                odd.append(c)
+        self.whole(odd)
+        odd = []
+        for c, w, s in signed:
+            if w not in known and not self.word(w, w.decode(), tokenize, letters):
+                odd.append(c)
+            elif not w or not w.decode()[-1:].isalpha():
+                odd.append(c)
+            else:
+                if s not in known:
+                    self.whole([s])
+                known[c] = known[w] + known[s]
+        self.whole(odd)
+
+    def word(self, key: bytes, text: str, tokenize, letters: dict[int, str]) -> bool:
+        if not text.isalpha() or max(text) >= "\u0300" or "\u0130" in text:
+            return False
+        self.known[key] = _pack([t.id for t in tokenize(text.lower().encode().decode("latin-1").translate(letters))])
+        return True
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
-        cut = [(t or b"").split() for t in texts]
+        cut = [((t or b"") if COMPOSING.search(t or b"") else (t or b"").lower()).split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        todo = list(set().union(*cut).difference(self.known))
-        for c, e in zip(todo, self.tokenizer.encode_batch_fast([c.decode() for c in todo], add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
+        self.learn(set().union(*cut).difference(self.known))
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def tokenise(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
     """Pieces of at most ``capacity`` ids; only documents longer than that are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder.of_worker(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             texts = batch.column(1).to_pylist()

@@ -13,6 +13,17 @@ from tessella.llm.queries import tokenizer_path
 TEXTS = ["", None, "Hello, world's END 12,3", "a b\x1cć ́d\x85e f \x0b\x0c g", "É ß ÑANDÚ ό ΣΑΣ ς", "x" * 9000, "w " * 9000, "<|endoftext|> it's 日本 語"]
 
 
+def test_encoder_agrees_with_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    t, e, rng = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path()), random.Random(8)
+    letters = [chr(c) for c in range(32, 0x300) if not 0x7F <= c < 0xA0] + list("\u0301\u030c\u0345\u1e9e\u2126\u212bﬁĲ日本کا\U0001d400") + list("'s'tdmrel.,!?…") * 9
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["J\u030c j\u030c Ĵ İ I\u0307 don't DON'T l'été, L'ÉTÉ!! x'', can't've ª.º ²a a² «b».", "a.b,c.. 12.5 a1.,b", "e\u0301, É. \u00a0x\u00a0,"]
+    assert e.ids([x.encode() for x in texts]) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert e.ids([None, b""]) == [b"", b""]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, "extra") for i, t in enumerate(TEXTS)] + [(None, "no id", "x"), (2, TEXTS[2], "again"), (2, TEXTS[2], "again")]
