@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontam, embedding_dedup, line_dedup, minhash_dedup, packing, sharding, substring_dedup
+from . import context_tree, decontam, embedding_dedup, line_dedup, minhash_dedup, packing, quality, sharding, substring_dedup
 from .common import read, text_of
 
 #: Place of the public vocabulary files.
@@ -82,6 +82,12 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by their importance for the labelled good ones."""
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    return quality.resample(docs, quality.good_ids(labels)).select("doc_id", "log_weight", "draw_key", "kept")
+
+
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_shuffle_shards": op8_shuffle_shards,
+    "op9_importance_resampling": op9_importance_resampling,
     "op10_best_two_fit": op10_best_two_fit,
 }
 
