@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks_for, text_bytes
+from .wordhash import distinct as distinct_values
+from .wordhash import mix
 
 #: Stands before and behind each text; no byte of UTF-8.
 EDGE = 0xFF
@@ -38,37 +40,67 @@ def contexts(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[keep], np.r_[0, np.cumsum(lengths + 1)[:-1]] if len(texts) else starts
 
 
-def _count(depth: int):
-    """Distinct contexts and words of a block with their numbers in training texts."""
+def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted distinct contexts by the part that counts them, and where each part begins; the same wherever it is asked."""
+    part = (mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _count(depth: int, parts: int):
+    """Distinct contexts of a block, packed for each part with their numbers in training texts, and its words likewise as rows."""
 
     def run(block: pa.Table) -> pa.Table:
         texts = [plain(t) for t in block.column("text").to_pylist()]
         train = block.column("train").to_numpy()
         keys, starts = contexts(texts, depth)
-        mark = np.repeat(train, np.diff(np.r_[starts, len(keys)])).astype(np.int64)
-        both, n = np.unique(keys << 1 | mark, return_counts=True)
-        gram, at = np.unique(both >> 1, return_index=True)
-        last = np.r_[at[1:], len(both)] - 1
-        seen = np.where(both[last] & 1, n[last], 0)
+        both = np.sort(keys << 1 | np.repeat(train, np.diff(np.r_[starts, len(keys)])).astype(np.int64))
+        first = np.flatnonzero(np.r_[True, both[1:] >> 1 != both[:-1] >> 1])
+        gram, seen = both[first] >> 1, np.add.reduceat(both & 1, first)
+        order, edges = by_part(gram, parts)
+        gram, seen = gram[order].astype("<i8").tobytes(), seen[order].astype("<i8").tobytes()
+        full = [p for p in range(parts) if edges[p] < edges[p + 1]]
+        packed = [[data[8 * edges[p] : 8 * edges[p + 1]] for p in full] for data in (gram, seen)]
         words: Counter[bytes] = Counter()
         other: set[bytes] = set()
         for text, learns in zip(texts, train.tolist(), strict=True):
             (words if learns else other).update(text.split())
         tokens = [*words, *other.difference(words)]
         counts = [*words.values(), *[0] * (len(tokens) - len(words))]
-        k, m = len(gram), len(tokens)
+        k, m = len(full), len(tokens)
+        none = lambda n, kind: pa.nulls(n, kind)
         return pa.table(
             {
                 "block": pa.array(np.full(k + m + 1, block.column("block")[0].as_py(), np.int64)),
-                "gram": pa.concat_arrays([pa.array(gram), pa.nulls(m + 1, pa.int64())]),
-                "word": pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array(tokens, pa.binary()), pa.nulls(1, pa.binary())]),
-                "n": pa.array(np.r_[seen, np.array(counts, np.int64), int(train.sum())]),
+                "part": pa.concat_arrays([pa.array(full, pa.int64()), none(m + 1, pa.int64())]),
+                "grams": pa.concat_arrays([pa.array(packed[0], pa.binary()), none(m + 1, pa.binary())]),
+                "seen": pa.concat_arrays([pa.array(packed[1], pa.binary()), none(m + 1, pa.binary())]),
+                "word": pa.concat_arrays([none(k, pa.binary()), pa.array(tokens, pa.binary()), none(1, pa.binary())]),
+                "n": pa.concat_arrays([none(k, pa.int64()), pa.array(np.array([*counts, int(train.sum())], np.int64))]),
             }
         )
 
     return run
 
 
+def _merge(group: pa.Table) -> pa.Table:
+    """Sums of one part's counts over all blocks."""
+    grams, seen = (np.frombuffer(b"".join(group.column(c).to_pylist()), "<i8") for c in ("grams", "seen"))
+    order = np.argsort(grams, kind="stable")
+    grams, seen = grams[order], seen[order]
+    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    return pa.table({"gram": pa.array(grams[first]), "n": pa.array(np.add.reduceat(seen, first))})
+
+
+def _price(asked: pa.Table, priced: pa.Table) -> pa.Table:
+    """Prices of one part's contexts for each block that asked, in the order asked."""
+    gram, lp = priced.column("gram").to_numpy(), priced.column("lp").to_numpy().astype("<f4")
+    order = np.argsort(gram)
+    gram, lp = gram[order], lp[order]
+    out = [lp[np.searchsorted(gram, np.frombuffer(g, "<i8"))].tobytes() for g in asked.column("grams").to_pylist()]
+    return pa.table({"block": asked.column("block"), "part": asked.column("part"), "prices": pa.array(out, pa.binary())})
+
+
 def _log_gamma(x: Column) -> Column:
     """ln Gamma(x) for x > 0: Stirling's series at x + 8, led back by the recurrence."""
     y = x + 8.0
@@ -133,20 +165,20 @@ def weigh(grams: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
     return scratch.put(bits.join(priced, ["ctx", "node", "bit"]).groupBy("gram").agg(F.sum("lp").alias("lp")))
 
 
-def _score(depth: int, total: int, distinct: int, ends: int, keep_text: bool):
+def _score(depth: int, parts: int, total: int, distinct: int, ends: int, keep_text: bool):
     """Sums over the texts of a block; its contexts and words come priced with it."""
 
     def run(docs: pa.Table, prices: pa.Table) -> pa.Table:
         texts = [plain(t) for t in docs.column("text").to_pylist()]
         keys, starts = contexts(texts, depth)
-        gram = prices.column("gram")
-        of_gram = prices.filter(gram.is_valid())
-        at = pd.Index(of_gram.column("gram").to_numpy()).get_indexer(keys)
-        if len(keys) and at.min() < 0:
-            raise ValueError("a context has no price")
-        lp = of_gram.column("lp").to_numpy()
-        score = np.add.reduceat(lp[at], starts) if len(texts) else np.zeros(0)
-        of_word = prices.filter(gram.is_null())
+        part = prices.column("part")
+        of_gram = prices.filter(part.is_valid()).sort_by("part")
+        gram = distinct_values(keys)
+        order, _ = by_part(gram, parts)
+        lp = np.zeros(len(gram))
+        lp[order] = np.frombuffer(b"".join(of_gram.column("prices").to_pylist()), "<f4")
+        score = np.add.reduceat(lp[pd.Index(gram).get_indexer(keys)], starts) if len(texts) else np.zeros(0)
+        of_word = prices.filter(part.is_null())
         count = dict(zip(of_word.column("word").to_pylist(), of_word.column("n").to_pylist(), strict=True))
         scale = total + distinct + 1
         price = {w: math.log10((c + 1) / scale) for w, c in count.items()}
@@ -176,7 +208,7 @@ def _score(depth: int, total: int, distinct: int, ends: int, keep_text: bool):
 def score_documents(
     df: DataFrame,
     train: Column,
-    depth: int = 4,
+    depth: int = 5,
     block_bytes: int = 8 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -184,10 +216,11 @@ def score_documents(
 ) -> DataFrame:
     """Learn a context tree from the rows where ``train`` is true and score every whole text.
 
-    Texts are dealt into blocks of about ``block_bytes``. Each block counts its distinct contexts of ``depth`` bytes and
-    its words; the counts are summed over all blocks, the tree is weighted level by level in DataFrame operations, and
-    each block gets the prices of its own contexts back. The model is spread over the cluster and grows with the
-    corpus; only the totals reach the driver.
+    Texts are scored as their words, A-Z lower-cased, with a space between two. They are dealt into blocks of about
+    ``block_bytes``. Each block counts its distinct contexts of ``depth`` bytes and its words; the counts are summed over all
+    blocks in parts by hash, the tree is weighted level by level in DataFrame operations, and each block gets the prices
+    of its own contexts back, in single precision. The model is spread over the cluster and grows with the corpus; only
+    totals reach the driver.
 
     Returns the columns of ``df`` (its text only with ``keep_text``) but the following, which are added: ``n_tokens`` (words and one end), ``n_known`` (those
     seen in training), ``train_tokens`` long, ``base_score`` (add-one unigrams, log10), ``score`` (log10 probability of the
@@ -203,22 +236,26 @@ def score_documents(
     dealt = df.select(
         F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias("block"), row.alias("row"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text_col).cast("binary").alias("text")
     )
-    counted = dealt.select("block", "train", "text").groupBy("block").applyInArrow(_count(depth), "block long, gram long, word binary, n long")
-    counted = scratch.put(counted)
-    grams = scratch.put(counted.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")))
-    words = scratch.put(counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
-    ends = counted.where("gram is null and word is null").agg(F.sum("n")).first()[0] or 0
+    parts = max(64, -(-blocks // 16))
+    schema = "block long, part long, grams binary, seen binary, word binary, n long"
+    counted = scratch.put(dealt.select("block", "train", "text").groupBy("block").applyInArrow(_count(depth, parts), schema))
+    packed, said = counted.where("part is not null"), counted.where("part is null")
+    grams = scratch.put(packed.select("part", "grams", "seen").groupBy("part").applyInArrow(_merge, "gram long, n long"))
+    words = scratch.put(said.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
+    ends = said.where("word is null").agg(F.sum("n")).first()[0] or 0
     t = words.where("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     total, distinct = (t[0] or 0) + ends, t[1] + (ends > 0)
 
-    priced = weigh(grams, depth, scratch)
-    own = counted.where("gram is not null").select("block", "gram").join(priced, "gram")
-    own = own.select("block", "gram", "lp", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("n"))
-    said = counted.where("word is not null").select("block", "word").join(words, "word")
-    said = said.select("block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("lp"), "word", "n")
-    prices = scratch.put(own.unionByName(said))
+    # The part of a context is asked of Python alone, once, so both sides agree.
+    of_part = lambda batches: (pa.RecordBatch.from_arrays([pa.array((mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(parts)).astype(np.int64)), *b.columns], ["part", "gram", "lp"]) for b in batches)
+    priced = weigh(grams, depth, scratch).select("gram", "lp").mapInArrow(of_part, "part long, gram long, lp double")
+    own = packed.select("block", "part", "grams").groupBy("part").cogroup(priced.groupBy("part")).applyInArrow(_price, "block long, part long, prices binary")
+    own = own.select("block", "part", "prices", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("n"))
+    held = said.where("word is not null").select("block", "word").join(words, "word")
+    held = held.select("block", F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("prices"), "word", "n")
+    prices = scratch.put(own.unionByName(held))
     kind = dealt.schema["row"].dataType.simpleString()
     schema = "text binary, " * keep_text + f"row {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    out = dealt.select("block", "row", "text").groupBy("block").cogroup(prices.groupBy("block")).applyInArrow(_score(depth, total, distinct, ends, keep_text), schema)
+    out = dealt.select("block", "row", "text").groupBy("block").cogroup(prices.groupBy("block")).applyInArrow(_score(depth, parts, total, distinct, ends, keep_text), schema)
     columns = [F.col("text").cast("string").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in kept if keep_text or c != text_col]
     return out.select(*columns, *added)
