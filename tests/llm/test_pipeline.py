@@ -1,0 +1,110 @@
+"""The pipeline's stages, each against brute force on what the stage before it kept."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessella.llm import decontam
+
+from .test_minhash import brute as near_groups
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    rng = random.Random(21)
+    path = tmp_path_factory.mktemp("corpus")
+    part = ["er", "th", "on", "ing", "ion", "re", "an", "st", "é"]
+    word = lambda: "".join(rng.choice(part) for _ in range(rng.randint(1, 4)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    items = [say(30) for _ in range(5)] + ["short item", ""]
+    line = "This line stands in very many documents"
+    docs, bad = [], set()
+    for i in range(1500):
+        t = say(rng.randint(12, 120))
+        if i % 9 == 4:
+            w = t.split()
+            for _ in range(3):
+                w[rng.randrange(len(w))] = rng.choice(["idiotic", "morons", "scumbag"])
+            t = " ".join(w)
+            bad.add(i)
+        elif i % 10 == 1:
+            t += "\n" + line.upper() + " \n" + say(5)
+        elif i % 31 == 2:
+            t += " " + items[i % 5] + " " + say(9)
+        elif i % 12 == 5 and i > 200:
+            w = docs[i - 200][1].split(" ")
+            w[rng.randrange(len(w))] = word()
+            t = " ".join(w)
+            bad |= {i} if i - 200 in bad else set()
+        docs.append((i, t, "en", f"src{i % 3}", len(t)))
+    docs += [(2000, None, None, None, None), (2001, "", "en", "s", 0), (None, say(20), "en", "s", 3), (2002, say(9000), "en", "s", 1)]
+    spark.createDataFrame(docs, COLUMNS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(d[0], 1, int(d[0] in bad)) for d in docs[:1500] if d[0] % 2], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path), bad, line
+
+
+@pytest.fixture(scope="module")
+def steps(spark, folder, tmp_path_factory):
+    path = folder[0]
+    out = [spark.read.parquet(f"{path}/documents.parquet")]
+    for name, stage in corpus_pipeline.STAGES:
+        where = str(tmp_path_factory.mktemp("stage") / name)
+        stage(spark, out[-1], path).write.parquet(where)
+        out.append(spark.read.parquet(where))
+    return out
+
+
+def rows(df):
+    return [(r.doc_id, r.text) for r in df.collect()]
+
+
+def test_columns(steps):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_copies", "leaks", "packing"]
+    assert all(s.dtypes == steps[0].dtypes for s in steps[:5])
+
+
+def test_quality(steps, folder):
+    kept = {r[0] for r in rows(steps[1])}
+    clean = {r[0] for r in rows(steps[0])} - folder[1]
+    assert len(clean & kept) >= 0.99 * len(clean) and len(folder[1] & kept) <= 0.02 * len(folder[1])
+
+
+def test_lines(steps, folder):
+    before, after = dict(rows(steps[1])), dict(rows(steps[2]))
+    held = [i for i, t in before.items() if i is not None and folder[2].upper() in (t or "")]
+    assert set(before) == set(after) and len(held) > 3
+    for i, t in before.items():
+        want = "\n".join(x for x in (t or "").split("\n") if not (x.strip() == folder[2].upper() and i in held and i != max(held)))
+        assert (after[i] or "") == want
+    assert steps[2].where("n_chars <> length(text) AND doc_id < 1500").count() == 0
+
+
+def test_near_copies(steps):
+    groups = near_groups(rows(steps[2]), 5, 80)
+    assert {r[0] for r in rows(steps[3])} == {i for i, _, _, kept in groups if kept}
+    assert len(groups) > steps[3].count()
+
+
+def test_leaks(spark, steps, folder):
+    items = [decontam.words((r.text or "").encode()) for r in spark.read.parquet(f"{folder[0]}/benchmark.parquet").collect()]
+    windows = {tuple(w[k : k + 10]) for w in items if w for k in range(max(1, len(w) - 9))}
+    hit = lambda w: any(tuple(w[k : k + n]) in windows for n in {len(p) for p in windows} for k in range(len(w) - n + 1))
+    want = {i for i, t in rows(steps[3]) if not hit(decontam.words((t or "").encode()))}
+    assert {r[0] for r in rows(steps[4])} == want and len(want) < steps[3].count()
+
+
+def test_packing(steps):
+    got = steps[5].groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m")).where("n > 4096 or m <> n")
+    assert got.count() == 0 and steps[5].where("piece = 0").count() == steps[4].count()
+    total = steps[5].agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    assert total[1] <= total[0] / 4096 * 1.05 + 1
+
+
+def test_run_equals_its_stages(spark, folder, steps):
+    got = corpus_pipeline.run(spark, folder[0]).select("doc_id", "piece", "ids_crc32")
+    assert got.exceptAll(steps[5].select("doc_id", "piece", "ids_crc32")).count() == 0 and got.count() == steps[5].count()
