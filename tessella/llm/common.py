@@ -38,17 +38,22 @@ class Scratch:
         """Write ``df`` and return it read back."""
         path, self.n = f"{self.base}/{self.n}", self.n + 1
         df.write.option("compression", "zstd").parquet(path)
+        if self.n == 1:
+            self._file_system(path)[1].deleteOnExit(self._file_system(self.base)[0])  # with the driver, whatever is left goes
         self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of the finished plan
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
 
+    def _file_system(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t)))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, system = self._file_system(self.paths.pop(id(t)))
+            system.delete(path, True)
 
 
 def text_of(column: Column | str = "text") -> Column:
