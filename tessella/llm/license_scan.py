@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from .decontam import words
-from .wordhash import BASES, WordHashes, column, mix, rolling, spans, text_chunks
+from .wordhash import BASES, WordHashes, column, distinct, mix, rolling, spans, text_chunks
 
 # Well-known notices of public licenses.
 TEMPLATES = {
@@ -45,14 +45,14 @@ class Scanner:
             w = words(text.encode())
             if len(w) < width:
                 raise ValueError(f"template {name} has fewer than {width} words")
-            s = np.unique(rolling(self.hashes.of([w]), width, BASES[0]))
+            s = distinct(rolling(self.hashes.of([w]), width, BASES[0]))
             table = self.buckets.setdefault(len(w), [{} for _ in range(bands)])
             for t, key in zip(table, self.keys(s), strict=True):
                 t.setdefault(key, []).append(len(self.names))
             self.names.append(name)
             self.sets.append(s)
             self.lengths.append(len(w))
-        self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
+        self.all = distinct(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
 
     def keys(self, shingles: np.ndarray) -> list[tuple]:
         least = mix(shingles[:, None] ^ self.salts[None, :]).min(axis=0).reshape(self.bands, self.rows)
@@ -70,7 +70,7 @@ class Scanner:
             for h in hits.tolist():
                 starts.update(range(max(0, -(-(h - size + 1) // step)), h // step + 1))
             for start in sorted(starts):
-                window = np.unique(shingles[start * step : start * step + size])
+                window = distinct(shingles[start * step : start * step + size])
                 seen = set()
                 for t, key in zip(table, self.keys(window), strict=True):
                     seen.update(t.get(key, ()))

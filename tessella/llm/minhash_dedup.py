@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import components
-from .wordhash import BASES, WordHashes, column, mix, rolling, signed, spans, text_chunks
+from .wordhash import BASES, WordHashes, column, distinct, mix, rolling, signed, spans, text_chunks
 
 #: Shingles of the sets of one side of a block of comparisons, and those compared in one matrix product.
 BLOCK, SLICE = 200_000, 8192
@@ -55,7 +55,7 @@ def shingle_sets(words: list[list[bytes]], hashes: WordHashes, width: int) -> li
     for i, w in enumerate(words):
         lo = at[i]
         if len(w) >= width:
-            out.append(np.unique(all_of[lo : lo + len(w) - width + 1]))
+            out.append(distinct(all_of[lo : lo + len(w) - width + 1]))
         else:
             out.append(rolling(values[lo : lo + len(w)], len(w), BASES[1]) if w else np.zeros(0, np.uint64))
     return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .decontam import WORDS
-from .wordhash import WordHashes, column, mix, sliding_min, spans, text_chunks
+from .wordhash import WordHashes, column, distinct, mix, sliding_min, spans, text_chunks
 
 #: Slices in which counts of the buckets travel.
 SLICES = 64
@@ -47,7 +47,7 @@ def features(texts: list[bytes | None], hashes: WordHashes, bits: int, width: in
     place = np.repeat(np.arange(len(low)), size)
     inside = (np.arange(len(place)) + width <= np.cumsum(size)[place])[:n]
     found.append((place[:n][inside], mix(grams[inside]) >> shift))
-    both = np.unique(np.concatenate([r.astype(np.uint64) << np.uint64(bits) | b for r, b in found]))
+    both = distinct(np.concatenate([r.astype(np.uint64) << np.uint64(bits) | b for r, b in found]))
     return (both >> np.uint64(bits)).astype(np.int64), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 

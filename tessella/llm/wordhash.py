@@ -35,6 +35,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; for these sizes much faster than numpy's hashing unique()."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
     """Rabin-Karp hash of every ``width`` consecutive values, from prefix sums over inverse powers."""
     n = len(values)
