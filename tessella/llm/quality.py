@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,17 @@ RUNS = (4, 5, 6, 7, 8)
 SHAPES = bytes(65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 97 if c >= 128 or 97 <= c <= 122 else c for c in range(256))
 
 
-def features(texts: list[bytes | None], hashes: WordHashes, bits: int, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+class ShapedHashes(WordHashes):
+    """32 bits of each word's hash, and of its shape's above them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh32_intdigest(word) | xxhash.xxh32_intdigest(word.translate(SHAPES), 1) << 32
+        return h
+
+
+def features(texts: list[bytes | None], hashes: ShapedHashes, bits: int, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Rows and buckets of the distinct n-grams of texts.
 
     They are words as written, words by shape (kinds of letters, digits and signs), one word again and
@@ -32,7 +43,7 @@ def features(texts: list[bytes | None], hashes: WordHashes, bits: int, width: in
     cut = [(t or b"").split() for t in texts]
     row, _ = spans(cut, 1)
     values = hashes.of(cut)
-    found = [(row, mix(values + np.uint64(1)) >> shift), (row, mix(hashes.of([(t or b"").translate(SHAPES).split() for t in texts]) + np.uint64(2)) >> shift)]
+    found = [(row, mix(values & np.uint64(0xFFFFFFFF)) >> shift), (row, mix(values >> np.uint64(32)) >> shift)]
     same = (values[1:] == values[:-1]) & (row[1:] == row[:-1])
     for n in RUNS:
         again = row[:-n][sliding_min(same, n)] if len(row) > n else row[:0]
@@ -55,7 +66,7 @@ def _document_counts(bits: int, target: np.ndarray):
     """Number of documents, and of target documents, that hold each bucket; once for each task, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, docs = WordHashes(), np.zeros((2, 1 << bits), np.int64), np.zeros(2, np.int64)
+        hashes, counts, docs = ShapedHashes(), np.zeros((2, 1 << bits), np.int64), np.zeros(2, np.int64)
         ids = target.value
         for batch in batches:
             texts, own = column(batch, "text").to_pylist(), column(batch, "id")
@@ -112,7 +123,7 @@ def fit(df: DataFrame, target_ids: DataFrame, bits: int, prior: float, max_label
 
 def _weights(bits: int, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ratio = WordHashes(), model.value.astype(np.float64)
+        hashes, ratio = ShapedHashes(), model.value.astype(np.float64)
         for batch in batches:
             texts, out = column(batch, "__text").to_pylist(), []
             for a, b in text_chunks(texts):

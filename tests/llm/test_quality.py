@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.llm import quality
-from tessella.llm.wordhash import WordHashes
 
 
 def corpus(n, seed=1):
@@ -60,7 +59,7 @@ def test_noise_is_gumbel(spark):
 
 
 def test_features_are_presence(spark):
-    row, bucket = quality.features([b"aa bb", b"bb aa aa", None, b"", b"z " * 9], WordHashes(), 20)
+    row, bucket = quality.features([b"aa bb", b"bb aa aa", None, b"", b"z " * 9], quality.ShapedHashes(), 20)
     assert len(bucket) == len(set(zip(row.tolist(), bucket.tolist(), strict=True)))
     assert len(bucket[row == 4]) == 4 + len(quality.RUNS) and not (row == 2).any()
 
