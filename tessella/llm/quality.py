@@ -27,7 +27,7 @@ class ShapedHashes(WordHashes):
     """32 bits of each word's hash, and of its shape's above them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh32_intdigest(word) | xxhash.xxh32_intdigest(word.translate(SHAPES), 1) << 32
         return h
@@ -171,6 +171,7 @@ def resample(
     max_labelled: int = 200_000,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep_text: bool = True,
 ) -> DataFrame:
     """Draw documents by their importance for the target, the labelled good documents, without replacement.
 
@@ -179,7 +180,7 @@ def resample(
     ``k`` as many are drawn as have a log weight of ``least`` or more, that is, as the classifier accepts. The noise is a
     hash of id and text, so a rerun draws the same. The k-th largest key is found exactly from histograms.
 
-    Returns the columns of ``df`` but those named ``log_weight``, ``draw_key`` double and ``kept`` boolean, which are added.
+    Returns the columns of ``df`` (its text only with ``keep_text``) but those named ``log_weight``, ``draw_key`` double and ``kept`` boolean, which are added.
     Null and empty texts weigh 0; rows with null ids are never targets; equal rows have equal keys, and a tie at the cut
     is kept as a whole; without labels all weights are 0; an empty table gives no rows. Ids are cast to long for the labels.
     """
@@ -192,19 +193,16 @@ def resample(
     inner = [f"c{i}" for i in range(len(names))]
     place = dict(zip(names, inner, strict=True))
 
-    def keyed(columns: list[str]) -> DataFrame:
-        own = df.select(*[F.col(f"`{c}`").alias(place[c]) for c in columns], F.xxhash64(F.lit(seed), id_col, text_col).alias("h"), F.col(text_col).cast("binary").alias("__text"))
-        schema = ", ".join(f"{place[c]} {df.schema[c].dataType.simpleString()}" for c in columns)
-        weighed = own.mapInArrow(_weights(bits, model), ", ".join(x for x in (schema, "h long", "log_weight double") if x))
-        uniform = (F.shiftright("h", 11) + float(1 << 52) + 0.5) / float(1 << 53)
-        return weighed.withColumn("draw_key", F.col("log_weight") / temperature - F.log(-F.log(uniform)))
-
-    keys = scratch.put(keyed([]).select(_ordered(F.col("draw_key")).alias("key"), "log_weight"))
-    wanted = k if k is not None else keys.where(F.col("log_weight") >= least).count()
-    cut = largest(keys.select("key"), wanted)
-    out = keyed(names)
+    out = [c for c in names if keep_text or c != text_col]
+    own = df.select(*[F.col(f"`{c}`").alias(place[c]) for c in out], F.xxhash64(F.lit(seed), id_col, text_col).alias("h"), F.col(text_col).cast("binary").alias("__text"))
+    schema = "".join(f"{place[c]} {df.schema[c].dataType.simpleString()}, " for c in out)
+    weighed = own.mapInArrow(_weights(bits, model), f"{schema}h long, log_weight double")
+    uniform = (F.shiftright("h", 11) + float(1 << 52) + 0.5) / float(1 << 53)
+    drawn = scratch.put(weighed.withColumn("draw_key", F.col("log_weight") / temperature - F.log(-F.log(uniform))))
+    wanted = k if k is not None else drawn.where(F.col("log_weight") >= least).count()
+    cut = largest(drawn.select(_ordered(F.col("draw_key")).alias("key")), wanted)
     kept = F.lit(True) if cut is None else _ordered(F.col("draw_key")) >= cut
-    return out.select(*[F.col(place[c]).alias(c) for c in names], "log_weight", "draw_key", kept.alias("kept"))
+    return drawn.select(*[F.col(place[c]).alias(c) for c in out], "log_weight", "draw_key", kept.alias("kept"))
 
 
 def good_ids(labels: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ class WordHashes(dict):
     """64-bit hash of each word seen; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
