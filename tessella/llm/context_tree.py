@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import struct
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +51,12 @@ def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
+def word_keys(words: Iterable[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
+
+
 def _count(depth: int, parts: int):
-    """Distinct contexts of a block, packed for each part with their numbers in training texts, and its words likewise as rows."""
+    """Distinct contexts (kind 0) and hashed words (kind 1) of a block with their numbers in training texts, packed for each part."""
 
     def run(block: pa.Table) -> pa.Table:
         texts = [plain(t) for t in block.column("text").to_pylist()]
@@ -56,113 +64,139 @@ def _count(depth: int, parts: int):
         keys, starts = contexts(texts, depth)
         both = np.sort(keys << 1 | np.repeat(train, np.diff(np.r_[starts, len(keys)])).astype(np.int64))
         first = np.flatnonzero(np.r_[True, both[1:] >> 1 != both[:-1] >> 1])
-        gram, seen = both[first] >> 1, np.add.reduceat(both & 1, first)
-        order, edges = by_part(gram, parts)
-        gram, seen = gram[order].astype("<i8").tobytes(), seen[order].astype("<i8").tobytes()
-        full = [p for p in range(parts) if edges[p] < edges[p + 1]]
-        packed = [[data[8 * edges[p] : 8 * edges[p + 1]] for p in full] for data in (gram, seen)]
         words: Counter[bytes] = Counter()
         other: set[bytes] = set()
         for text, learns in zip(texts, train.tolist(), strict=True):
             (words if learns else other).update(text.split())
         tokens = [*words, *other.difference(words)]
-        counts = [*words.values(), *[0] * (len(tokens) - len(words))]
-        k, m = len(full), len(tokens)
-        none = lambda n, kind: pa.nulls(n, kind)
-        return pa.table(
-            {
-                "block": pa.array(np.full(k + m + 1, block.column("block")[0].as_py(), np.int64)),
-                "part": pa.concat_arrays([pa.array(full, pa.int64()), none(m + 1, pa.int64())]),
-                "grams": pa.concat_arrays([pa.array(packed[0], pa.binary()), none(m + 1, pa.binary())]),
-                "seen": pa.concat_arrays([pa.array(packed[1], pa.binary()), none(m + 1, pa.binary())]),
-                "word": pa.concat_arrays([none(k, pa.binary()), pa.array(tokens, pa.binary()), none(1, pa.binary())]),
-                "n": pa.concat_arrays([none(k, pa.int64()), pa.array(np.array([*counts, int(train.sum())], np.int64))]),
-            }
-        )
+        hashes, counts = word_keys(tokens), np.array([*words.values(), *[0] * (len(tokens) - len(words))], np.int64)
+        order = np.argsort(hashes, kind="stable")
+        rows: list[tuple] = []
+        for kind, key, seen in ((0, both[first] >> 1, np.add.reduceat(both & 1, first)), (1, *_summed(hashes[order], counts[order]))):
+            order, edges = by_part(key, parts)
+            packed = [x[order].astype("<i8").tobytes() for x in (key, seen)]
+            rows += [(kind, p, *[x[8 * edges[p] : 8 * edges[p + 1]] for x in packed]) for p in range(parts) if edges[p] < edges[p + 1]]
+        rows.append((2, 0, b"", np.array([train.sum()], "<i8").tobytes()))
+        kind, part, keys, seen = zip(*rows, strict=True)
+        number = block.column("block")[0].as_py()
+        return pa.table({"block": pa.array([number] * len(rows), pa.int64()), "kind": pa.array(kind, pa.int64()), "part": pa.array(part, pa.int64()), "keys": pa.array(keys, pa.binary()), "seen": pa.array(seen, pa.binary())})
 
     return run
 
 
+def _summed(keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over equal neighbours."""
+    if not len(keys):
+        return keys, seen
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(seen, first)
+
+
 def _merge(group: pa.Table) -> pa.Table:
     """Sums of one part's counts over all blocks."""
-    grams, seen = (np.frombuffer(b"".join(group.column(c).to_pylist()), "<i8") for c in ("grams", "seen"))
-    order = np.argsort(grams, kind="stable")
-    grams, seen = grams[order], seen[order]
-    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-    return pa.table({"gram": pa.array(grams[first]), "n": pa.array(np.add.reduceat(seen, first))})
+    keys, seen = (np.frombuffer(b"".join(group.column(c).to_pylist()), "<i8") for c in ("keys", "seen"))
+    order = np.argsort(keys, kind="stable")
+    keys, seen = _summed(keys[order], seen[order])
+    return pa.table({"kind": pa.array([group.column("kind")[0].as_py()] * len(keys), pa.int64()), "part": pa.array([group.column("part")[0].as_py()] * len(keys), pa.int64()), "gram": pa.array(keys), "n": pa.array(seen)})
 
 
-def _price(asked: pa.Table, priced: pa.Table) -> pa.Table:
-    """Prices of one part's contexts for each block that asked, in the order asked."""
-    gram, lp = priced.column("gram").to_numpy(), priced.column("lp").to_numpy().astype("<f4")
+def _price(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Values of one part's keys for each block that asked, in the order asked: prices in single precision, counts whole."""
+    gram, value = known.column("gram").to_numpy(), known.column("value").to_numpy()
     order = np.argsort(gram)
-    gram, lp = gram[order], lp[order]
-    out = [lp[np.searchsorted(gram, np.frombuffer(g, "<i8"))].tobytes() for g in asked.column("grams").to_pylist()]
-    return pa.table({"block": asked.column("block"), "part": asked.column("part"), "prices": pa.array(out, pa.binary())})
+    gram, value = gram[order], value[order].astype("<f4" if known.column("kind")[0].as_py() == 0 else "<f8")
+    out = [value[np.searchsorted(gram, np.frombuffer(g, "<i8"))].tobytes() for g in asked.column("keys").to_pylist()]
+    return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "part": asked.column("part"), "given": pa.array(out, pa.binary())})
 
 
-def _log_gamma(x: Column) -> Column:
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma(x) for x > 0: Stirling's series at x + 8, led back by the recurrence."""
-    y = x + 8.0
-    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
-    product = x
+    y, product = x + 8.0, x.copy()
     for i in range(1, 8):
-        product = product * (x + float(i))
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+        product *= x + i
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
+
+
+def _level(full: bool):
+    """One depth of the tree, for whole contexts: the shares of the mixture that stop here and that go on.
+
+    A byte is eight decisions; a node is a context with the bits before a decision. Its Krichevsky-Trofimov block
+    probability Pe and the product of the weighted ones of contexts a byte longer give Pw = (Pe + product) / 2; at full
+    depth Pw = Pe. A path stops with weight Pe / 2 Pw. The bytes of a context that share a node are neighbours in the
+    order of grams, and the first of them carries the node's ln Pw upwards.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("gram")
+        gram, n = rows.column("gram").to_numpy(), rows.column("n").to_numpy()
+        out: dict[str, pa.Array] = {"gram": pa.array(gram), "n": pa.array(n)}
+        shares = np.empty((len(gram), 16), "<f4")
+        for j in range(8):
+            node, bit = gram >> (8 - j), gram >> (7 - j) & 1
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(gram)]))
+            ones, both = np.add.reduceat(n * bit, first), np.add.reduceat(n, first)
+            pe = log_gamma(ones + 0.5) + log_gamma(both - ones + 0.5) - log_gamma(both + 1.0) - math.log(math.pi)
+            pe[both == 0] = 0
+            if full:
+                pw, stop, on = pe, np.ones(len(first)), np.zeros(len(first))
+            else:
+                longer = np.add.reduceat(rows.column(f"m{j}").to_numpy(), first)
+                pw = np.logaddexp(pe, longer) - math.log(2)
+                stop, on = np.exp(pe - pw - math.log(2)), np.exp(longer - pw - math.log(2))
+            counted = np.where(bit == 1, ones[of], both[of] - ones[of])
+            shares[:, j] = np.where(both[of] == 0, 0.5, stop[of] * (counted + 0.5) / (both[of] + 1.0))  # never seen: 1/2
+            shares[:, 8 + j] = np.where(both[of] == 0, 0, on[of])
+            up = np.zeros(len(gram))
+            up[first] = pw
+            out[f"m{j}"] = pa.array(up)
+        out["shares"] = pa.array([r.tobytes() for r in shares], pa.binary())
+        return pa.table(out)
+
+    return run
 
 
-def _bits(key: Column) -> Column:
-    """The eight binary decisions of the byte in the low bits: node (1 and the bits before it) and bit."""
-    steps = [F.struct(F.shiftright(key.bitwiseAND(255) + 256, 8 - j).alias("node"), F.shiftright(key, 7 - j).bitwiseAND(1).alias("bit")) for j in range(8)]
-    return F.array(*steps)
+def _mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mixture so far, and its rest, carried on by one depth."""
+    for batch in batches:
+        so_far, shares = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<f4").reshape(-1, 16) for i in (1, 2))
+        p = so_far[:, :8] + so_far[:, 8:] * shares[:, :8]
+        out = np.concatenate([p, so_far[:, 8:] * shares[:, 8:]], axis=1).astype("<f4")
+        lp = np.log10(p.astype("f8")).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in out], pa.binary()), pa.array(lp)], ["gram", "shares", "lp"])
 
 
 def weigh(grams: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
     """(gram, n) -> (gram, lp): log10 probability of the byte after its context, mixed over depths 0 to ``depth``.
 
-    Upwards, each node of each context gets its Krichevsky-Trofimov block probability Pe and the weighted one,
-    Pw = (Pe + product of the Pw of contexts one byte longer) / 2; at full depth Pw = Pe. Downwards, each decision mixes
-    the KT estimates of all depths, Pe / 2 Pw being the weight with which a path stops. What was never seen has 1/2.
+    Upwards, one depth after the other is weighted in groups of whole contexts by hash; a context has 256 rows at most,
+    so groups are of even size. Downwards each gram takes up the mixture of the gram a byte shorter.
     """
-    context = lambda d: (1 << (8 * d)) - 1
-    levels: list[DataFrame] = []
-    counts = grams.where("n > 0")
-    below: DataFrame | None = None
+    sums, levels = [f"m{j}" for j in range(8)], []
+    now = grams
     for d in range(depth, -1, -1):
-        counts = counts.groupBy(F.col("gram").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("gram")).agg(F.sum("n").alias("n")) if d < depth else counts
-        counts = scratch.put(counts)
-        bits = counts.select(F.shiftright("gram", 8).alias("ctx"), "n", F.explode(_bits(F.col("gram"))).alias("x")).select("ctx", "n", "x.node", "x.bit")
-        nodes = bits.groupBy("ctx", "node").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("n0"), F.sum(F.col("n") * F.col("bit")).alias("n1"))
-        pe = _log_gamma(F.col("n0") + 0.5) + _log_gamma(F.col("n1") + 0.5) - _log_gamma(F.col("n0") + F.col("n1") + 1.0) - math.log(math.pi)
-        nodes = nodes.withColumn("pe", pe)
-        if below is None:
-            nodes = nodes.withColumn("pw", F.col("pe")).withColumn("stop", F.lit(1.0))
-        else:
-            longer = below.groupBy(F.col("ctx").bitwiseAND(context(d)).alias("ctx"), "node").agg(F.sum("pw").alias("longer"))
-            nodes = nodes.join(longer, ["ctx", "node"])
-            most = F.greatest("pe", "longer")
-            nodes = nodes.withColumn("pw", most + F.log(F.exp(F.col("pe") - most) + F.exp(F.col("longer") - most)) - math.log(2))
-            nodes = nodes.withColumn("stop", F.exp(F.col("pe") - F.col("pw") - math.log(2)))
-        below = scratch.put(nodes.select("ctx", "node", "n0", "n1", "pw", "stop"))
-        levels.append(below)
-
-    wanted = grams.select(F.shiftright("gram", 8).alias("ctx"), F.explode(_bits(F.col("gram"))).alias("x")).select("ctx", "x.node", "x.bit").distinct()
-    wanted = scratch.put(wanted)
-    mixed: DataFrame | None = None
-    for d, nodes in enumerate(reversed(levels)):
-        asked = wanted.select(F.col("ctx").bitwiseAND(context(d)).alias("ctx"), "node", "bit").distinct() if d < depth else wanted
-        if mixed is None:
-            asked = asked.withColumn("p", F.lit(0.0)).withColumn("rest", F.lit(1.0))
-        else:
-            shorter = mixed.withColumnRenamed("ctx", "up")
-            asked = asked.withColumn("up", F.col("ctx").bitwiseAND(context(d - 1))).join(shorter, ["up", "node", "bit"]).drop("up")
-        asked = asked.join(nodes.drop("pw"), ["ctx", "node"], "left")
-        kt = (F.when(F.col("bit") == 1, F.col("n1")).otherwise(F.col("n0")) + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
-        p = F.col("p") + F.col("rest") * F.coalesce(F.col("stop") * kt, F.lit(0.5))
-        mixed = scratch.put(asked.select("ctx", "node", "bit", p.alias("p"), (F.col("rest") * F.coalesce(1 - F.col("stop"), F.lit(0.0))).alias("rest")))
-    bits = grams.select("gram", F.shiftright("gram", 8).alias("ctx"), F.explode(_bits(F.col("gram"))).alias("x")).select("gram", "ctx", "x.node", "x.bit")
-    priced = mixed.select("ctx", "node", "bit", F.log10("p").alias("lp"))
-    return scratch.put(bits.join(priced, ["ctx", "node", "bit"]).groupBy("gram").agg(F.sum("lp").alias("lp")))
+        if d < depth:
+            shorter = F.col("gram").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("gram")
+            now = scratch.put(now.groupBy(shorter).agg(F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in sums]))
+        buckets = max(1, -(-now.count() // 50_000))
+        keyed = now.withColumn("bucket", F.pmod(F.xxhash64(F.shiftright("gram", 8)), F.lit(buckets)))
+        made = keyed.groupBy("bucket").applyInArrow(_drop_key(_level(d == depth)), "gram long, n long, " + "".join(f"{m} double, " for m in sums) + "shares binary")
+        made = scratch.put(made)
+        if d < depth:
+            scratch.drop(now)
+        now = made
+        levels.append(made.select("gram", "shares"))
+    mixed = levels.pop()
+    while levels:
+        own, d = levels.pop(), depth - len(levels)
+        shorter = mixed.select(F.col("gram").alias("up"), F.col("shares").alias("so_far"))
+        both = own.join(shorter, F.col("gram").bitwiseAND((1 << (8 * d)) - 1) == F.col("up")).select("gram", "so_far", "shares")
+        mixed = scratch.put(both.mapInArrow(_mix, "gram long, shares binary, lp double"))
+    return mixed.select("gram", "lp")
+
+
+def _drop_key(run):
+    return lambda rows: run(rows.drop_columns(["bucket"]))
 
 
 def _score(depth: int, parts: int, total: int, distinct: int, ends: int, keep_text: bool):
@@ -171,15 +205,18 @@ def _score(depth: int, parts: int, total: int, distinct: int, ends: int, keep_te
     def run(docs: pa.Table, prices: pa.Table) -> pa.Table:
         texts = [plain(t) for t in docs.column("text").to_pylist()]
         keys, starts = contexts(texts, depth)
-        part = prices.column("part")
-        of_gram = prices.filter(part.is_valid()).sort_by("part")
+        prices = prices.sort_by([("kind", "ascending"), ("part", "ascending")])
+        given = lambda kind, form: np.frombuffer(b"".join(prices.filter(pc.equal(prices.column("kind"), kind)).column("given").to_pylist()), form)
         gram = distinct_values(keys)
-        order, _ = by_part(gram, parts)
         lp = np.zeros(len(gram))
-        lp[order] = np.frombuffer(b"".join(of_gram.column("prices").to_pylist()), "<f4")
+        lp[by_part(gram, parts)[0]] = given(0, "<f4")
         score = np.add.reduceat(lp[pd.Index(gram).get_indexer(keys)], starts) if len(texts) else np.zeros(0)
-        of_word = prices.filter(part.is_null())
-        count = dict(zip(of_word.column("word").to_pylist(), of_word.column("n").to_pylist(), strict=True))
+        tokens = list(set().union(*[t.split() for t in texts]))
+        hashes = word_keys(tokens)
+        known = distinct_values(hashes)
+        counts = np.zeros(len(known), np.int64)
+        counts[by_part(known, parts)[0]] = given(1, "<f8").astype(np.int64)
+        count = dict(zip(tokens, counts[np.searchsorted(known, hashes)].tolist(), strict=True))
         scale = total + distinct + 1
         price = {w: math.log10((c + 1) / scale) for w, c in count.items()}
         n_tokens, n_known, base = [], [], []
@@ -217,8 +254,8 @@ def score_documents(
     """Learn a context tree from the rows where ``train`` is true and score every whole text.
 
     Texts are scored as their words, A-Z lower-cased, with a space between two. They are dealt into blocks of about
-    ``block_bytes``. Each block counts its distinct contexts of ``depth`` bytes and its words; the counts are summed over all
-    blocks in parts by hash, the tree is weighted level by level in DataFrame operations, and each block gets the prices
+    ``block_bytes``. Each block counts its distinct contexts of ``depth`` bytes and its words, by 64 bits of hash; the counts are summed over all
+    blocks in parts by hash, the tree is weighted depth by depth in groups by hash, and each block gets the prices
     of its own contexts back, in single precision. The model is spread over the cluster and grows with the corpus; only
     totals reach the driver.
 
@@ -227,6 +264,8 @@ def score_documents(
     text and its end) and ``bits_per_byte`` double. Null counts as empty text; a null ``train`` as true; rows with equal or
     null ids are separate texts; without training rows all contexts have their prior, 1/2 for each bit.
     """
+    if not 1 <= depth <= 6:
+        raise ValueError("depth must be from 1 to 6")
     spark = df.sparkSession
     scratch = Scratch(spark, "tree")
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
@@ -237,23 +276,24 @@ def score_documents(
         F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias("block"), row.alias("row"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text_col).cast("binary").alias("text")
     )
     parts = max(64, -(-blocks // 16))
-    schema = "block long, part long, grams binary, seen binary, word binary, n long"
+    schema = "block long, kind long, part long, keys binary, seen binary"
     counted = scratch.put(dealt.select("block", "train", "text").groupBy("block").applyInArrow(_count(depth, parts), schema))
-    packed, said = counted.where("part is not null"), counted.where("part is null")
-    grams = scratch.put(packed.select("part", "grams", "seen").groupBy("part").applyInArrow(_merge, "gram long, n long"))
-    words = scratch.put(said.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
-    ends = said.where("word is null").agg(F.sum("n")).first()[0] or 0
+    packed = counted.where("kind < 2")
+    merged = packed.groupBy("kind", "part").applyInArrow(_merge, "kind long, part long, gram long, n long")
+    merged = scratch.put(merged)
+    words = merged.where("kind = 1")
+    ends = sum(struct.unpack("<q", bytes(r["seen"]))[0] * r["n"] for r in counted.where("kind = 2").groupBy("seen").agg(F.count(F.lit(1)).alias("n")).collect())
     t = words.where("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     total, distinct = (t[0] or 0) + ends, t[1] + (ends > 0)
 
-    # The part of a context is asked of Python alone, once, so both sides agree.
-    of_part = lambda batches: (pa.RecordBatch.from_arrays([pa.array((mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(parts)).astype(np.int64)), *b.columns], ["part", "gram", "lp"]) for b in batches)
-    priced = weigh(grams, depth, scratch).select("gram", "lp").mapInArrow(of_part, "part long, gram long, lp double")
-    own = packed.select("block", "part", "grams").groupBy("part").cogroup(priced.groupBy("part")).applyInArrow(_price, "block long, part long, prices binary")
-    own = own.select("block", "part", "prices", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("n"))
-    held = said.where("word is not null").select("block", "word").join(words, "word")
-    held = held.select("block", F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("prices"), "word", "n")
-    prices = scratch.put(own.unionByName(held))
+    priced = weigh(merged.where("kind = 0").select("gram", "n"), depth, scratch)
+    of_part = lambda batches: (pa.RecordBatch.from_arrays([pa.array((mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(parts)).astype(np.int64)), *b.columns], ["part", "gram", "value"]) for b in batches)
+    values = priced.select("gram", "lp").mapInArrow(of_part, "part long, gram long, value double").withColumn("kind", F.lit(0).cast("long"))
+    values = values.unionByName(words.select("part", "gram", F.col("n").cast("double").alias("value"), "kind"))
+    asked = packed.select("block", "kind", "part", "keys").groupBy("kind", "part")
+    prices = asked.cogroup(values.groupBy("kind", "part")).applyInArrow(_price, "block long, kind long, part long, given binary")
+    prices = scratch.put(prices)
+    scratch.drop(counted, merged)
     kind = dealt.schema["row"].dataType.simpleString()
     schema = "text binary, " * keep_text + f"row {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     out = dealt.select("block", "row", "text").groupBy("block").cogroup(prices.groupBy("block")).applyInArrow(_score(depth, parts, total, distinct, ends, keep_text), schema)
