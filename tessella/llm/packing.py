@@ -64,14 +64,19 @@ class Encoder:
     def learn(self, chunks: set[bytes]) -> None:
         known, tokenize, letters, odd, signed = self.known, self.model.tokenize, self.letters, [], []
         for c in chunks:
+            if c.isalpha():  # ASCII letters stand for themselves
+                known[c] = _pack([t.id for t in tokenize(c.lower().decode())])
+                continue
             w = c.rstrip(SIGNS)
-            if w is not c and w != c:
+            if len(w) < len(c):
                 signed.append((c, w, c[len(w) :]))
             elif not self.word(c, c.decode(), tokenize, letters):
                 odd.append(c)
         self.whole(odd)
         odd = []
         for c, w, s in signed:
+            if w not in known and w.isalpha():
+                known[w] = _pack([t.id for t in tokenize(w.lower().decode())])
             if w not in known and not self.word(w, w.decode(), tokenize, letters):
                 odd.append(c)
             elif not w or not w.decode()[-1:].isalpha():
