@@ -17,12 +17,11 @@ def external_shuffle(
     n_shards: int = 16,
     seed: int = 17,
     bucket_bytes: int = 4 << 20,
-    id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Deal all rows into ``n_shards`` shards in one random order.
 
-    Pass 1 scatters rows by a seeded hash of id and text into buckets of about ``bucket_bytes``; pass 2 shuffles each
+    Pass 1 scatters rows by a seeded hash of their columns into buckets of about ``bucket_bytes``; pass 2 shuffles each
     bucket by Fisher-Yates (the built-in ``shuffle`` of an array, over hash order, so a rerun repeats it) and places
     it behind the buckets before it. Place p of the whole order is slot p div n of shard p mod n: shard sizes differ
     by one row at most and slots have no gaps.
@@ -34,8 +33,9 @@ def external_shuffle(
     kept = [c for c in df.columns if c not in ("shard", "slot")]
     total = df.agg(F.sum(F.octet_length(text_of(text_col)) + F.lit(64))).first()[0]
     n_buckets = blocks_for(total, bucket_bytes)
+    hashed = [F.col(f"`{c}`") for c in kept if "map<" not in df.schema[c].dataType.simpleString()]
     keyed = df.select(
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+        F.xxhash64(F.lit(seed), *hashed).alias("h"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
     ).withColumn("bucket", F.pmod(F.col("h"), F.lit(n_buckets)))
 
     counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("fan", F.floor(F.col("bucket") / FAN))
@@ -48,7 +48,8 @@ def external_shuffle(
 
     by_hash = lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0)
     buckets = keyed.groupBy("bucket").agg(F.collect_list(F.struct("h", "row")).alias("rows")).join(starts, "bucket")
-    dealt = buckets.select("start", F.posexplode(F.shuffle(F.array_sort("rows", by_hash), F.lit(seed))).alias("at", "x"))
+    # shuffle() draws on from bucket to bucket of a partition: in one order, a task that runs again deals the same.
+    dealt = buckets.sortWithinPartitions("bucket").select("start", F.posexplode(F.shuffle(F.array_sort("rows", by_hash), F.lit(seed))).alias("at", "x"))
     place = F.col("start") + F.col("at")
     return dealt.select(
         *[F.col("x.row").getField(c).alias(c) for c in kept],
