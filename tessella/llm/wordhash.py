@@ -59,6 +59,8 @@ def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Least of every ``width`` consecutive values, by doubling."""
+    if len(values) < width:
+        return values[:0]
     out, have = values, 1
     while have * 2 <= width:
         out, have = np.minimum(out[:-have], out[have:]), have * 2

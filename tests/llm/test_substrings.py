@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import substring_dedup
@@ -48,6 +49,28 @@ def test_empty(spark):
     assert substring_dedup.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_short_chunks():
+    """A chunk of one short text, as the last of a batch or a table of one row may be, never fails a task."""
+    for n in range(61):
+        text = pa.array([" ".join(f"w{i}" for i in range(n)).encode()], pa.binary())
+        one = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), text], ["id", "th", "text"])
+        anchors = [b.column("anchor") for b in substring_dedup._anchors(50, 20)(iter([one]))]
+        assert sum(map(len, anchors)) >= (n >= 50) and (n >= 50 or not sum(map(len, anchors)))
+        marked = one.append_column("anchors", pa.array([[x for a in anchors for x in a.to_pylist()]], pa.list_(pa.int64())))
+        assert sum(b.num_rows for b in substring_dedup._windows(50, 20)(iter([marked]))) == max(0, n - 49)
+    for n in range(40):
+        v = np.arange(n)[::-1]
+        for w in (1, 2, 3, 8, 31):
+            assert sliding_min(v, w).tolist() == [min(v[i : i + w]) for i in range(n - w + 1)]
+
+
+@pytest.mark.parametrize("n", [42, 45, 48, 50])
+def test_one_document(spark, n):
+    text = " ".join(f"w{i}" for i in range(n))
+    got = substring_dedup.dedup_substrings(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.n_words, r.removed, r.kept_text) for r in got] == [(n, [], text)]
+
+
 def test_hashes():
     rng = np.random.default_rng(1)
     v = rng.integers(0, 5, 300).astype(np.uint64)
