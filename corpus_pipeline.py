@@ -16,7 +16,8 @@ from tessella.llm.queries import tokenizer_path
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws for the labelled good ones; what it rejects goes."""
-    drawn = quality.resample(docs, quality.good_ids(read(spark, sf_dir, "labels")))
+    labels = read(spark, sf_dir, "labels")
+    drawn = quality.resample(docs, quality.good_ids(labels), bad_ids=quality.bad_ids(labels))
     return drawn.where("kept").select(*docs.columns)
 
 

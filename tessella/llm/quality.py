@@ -19,6 +19,8 @@ from .wordhash import WordHashes, column, distinct, mix, sliding_min, spans, tex
 SLICES = 64
 #: So many repetitions of a word at once are n-grams of their own.
 RUNS = (4, 5, 6, 7, 8)
+#: A share is beyond chance if chance gives it with a probability below exp(-SURE).
+SURE = 10
 #: A for ASCII capitals, 0 for digits, a for other letters and all bytes beyond ASCII; signs and white space stay.
 SHAPES = bytes(65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 97 if c >= 128 or 97 <= c <= 122 else c for c in range(256))
 
@@ -62,30 +64,30 @@ def features(texts: list[bytes | None], hashes: ShapedHashes, bits: int, width:
     return (both >> np.uint64(bits)).astype(np.int64), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _document_counts(bits: int, target: np.ndarray):
-    """Number of documents, and of target documents, that hold each bucket; once for each task, in slices."""
+def _document_counts(bits: int, labelled):
+    """Number of documents, of target and of bad documents that hold each bucket; once for each task, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, docs = ShapedHashes(), np.zeros((2, 1 << bits), np.int64), np.zeros(2, np.int64)
-        ids = target.value
+        hashes, counts, docs = ShapedHashes(), np.zeros((3, 1 << bits), np.int64), np.zeros(3, np.int64)
         for batch in batches:
             texts, own = column(batch, "text").to_pylist(), column(batch, "id")
-            wanted = np.isin(own.fill_null(0).to_numpy(), ids) & own.is_valid().to_numpy(zero_copy_only=False)
-            docs += len(texts), wanted.sum()
+            wanted = [np.isin(own.fill_null(0).to_numpy(), ids) & own.is_valid().to_numpy(zero_copy_only=False) for ids in labelled.value]
+            docs += len(texts), *[w.sum() for w in wanted]
             for a, b in text_chunks(texts):
                 row, bucket = features(texts[a:b], hashes, bits)
                 counts[0] += np.bincount(bucket, minlength=1 << bits)
-                counts[1] += np.bincount(bucket[wanted[a:b][row]], minlength=1 << bits)
+                for n, w in zip(counts[1:], wanted, strict=True):
+                    n += np.bincount(bucket[w[a:b][row]], minlength=1 << bits)
         if docs[0]:
             parts = [p.astype("<i8").tobytes() for p in np.split(counts, SLICES, axis=1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary()), pa.array([struct.pack("<2q", *docs)] * SLICES, pa.binary())], ["slice", "counts", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary()), pa.array([struct.pack("<3q", *docs)] * SLICES, pa.binary())], ["slice", "counts", "docs"])
 
     return run
 
 
 def _add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the counts of one slice, one task's at a time."""
-    total, docs = None, np.zeros(2, np.int64)
+    total, docs = None, np.zeros(3, np.int64)
     for batch in batches:
         for c, d in zip(batch.column("counts"), batch.column("docs"), strict=True):
             c = np.frombuffer(c.as_py(), "<i8")
@@ -94,17 +96,38 @@ def _add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([docs.tobytes()], pa.binary())], ["slice", "counts", "docs"])
 
 
-def fit(df: DataFrame, target_ids: DataFrame, bits: int, prior: float, max_labelled: int, id_col: str, text_col: str) -> np.ndarray:
+def _some_ids(ids: DataFrame, at_most: int) -> np.ndarray:
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).where("id is not null").distinct()
+    return np.array([r["id"] for r in ids.orderBy(F.xxhash64("id"), "id").limit(at_most).collect()], np.int64)
+
+
+def log_ratio(target: np.ndarray, among: np.ndarray, rate: float, expected: np.ndarray, prior: float) -> np.ndarray:
+    """Log ratio of ``target`` to ``expected`` documents, drawn to 0 by ``prior`` of both; 0 where it is below 1 either way or within chance.
+
+    Chance is that each of the ``among`` documents with a bucket is a target with probability ``rate``. So many or so few
+    targets have then a probability of exp(-nats) at most (Chernoff), nats being among * KL(target / among, rate): a rule
+    by share, which none of 28 documents meets at a rate of 0.3, whatever the size of the table.
+    """
+    nats = np.zeros(len(target))
+    for n, p in ((target, rate), (among - target, 1 - rate)):
+        some = n > 0
+        nats[some] += n[some] * np.log(n[some] / (among[some] * p))
+    ratio = np.log((target + prior) / (expected + prior))
+    return np.where((nats > SURE) & (np.abs(ratio) > 1), ratio, 0)
+
+
+def fit(df: DataFrame, target_ids: DataFrame, bad_ids: DataFrame | None, bits: int, prior: float, max_labelled: int, id_col: str, text_col: str) -> np.ndarray:
     """Log ratio of the target's to the raw text's share of documents that hold a bucket; 2**bits floats whatever the corpus.
 
-    A ratio is drawn towards 1 by ``prior`` documents, and is 1 where it is within chance (four deviations) or less than
-    e either way, so that a long document isn't judged by the sum of its common words. All documents are counted;
-    of the labelled target ids ``max_labelled`` at most, the first by hash, reach the driver and the tasks.
+    A ratio is drawn towards 1 by ``prior`` documents, and is 1 where it is within chance or less than e either way, so that
+    a long document isn't judged by the sum of its common words. Where the target's share differs more from that of the
+    labelled bad documents, that ratio stands. All documents are counted; of the labelled target ids and the bad ones
+    ``max_labelled`` of each at most, the first by hash, reach the driver and the tasks.
     """
     spark = df.sparkSession
-    ids = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("id")).where("id is not null").distinct()
-    ids = np.array([r["id"] for r in ids.orderBy(F.xxhash64("id"), "id").limit(max_labelled).collect()], np.int64)
-    shared = spark.sparkContext.broadcast(ids)
+    ids = _some_ids(target_ids, max_labelled)
+    bad = np.setdiff1d(_some_ids(bad_ids, max_labelled), ids) if bad_ids is not None else np.zeros(0, np.int64)
+    shared = spark.sparkContext.broadcast((ids, bad))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     parts = texts.mapInArrow(_document_counts(bits, shared), "slice int, counts binary, docs binary")
     parts = parts.withColumn("fan", F.pmod(F.xxhash64("counts"), F.lit(64)))
@@ -113,12 +136,13 @@ def fit(df: DataFrame, target_ids: DataFrame, bits: int, prior: float, max_label
     got = sorted((r["slice"], bytes(r["counts"]), bytes(r["docs"])) for r in parts.collect())
     if not got:
         return np.zeros(1 << bits, np.float32)
-    raw, target = np.concatenate([np.frombuffer(c, "<i8").reshape(2, -1) for _, c, _ in got], axis=1)
-    n_raw, n_target = np.frombuffer(got[0][2], "<i8")
-    expected = raw * (n_target / n_raw)
-    ratio = np.log((target + prior) / (expected + prior))
-    clear = (np.abs(target - expected) > 4 * np.sqrt(expected + 1)) & (np.abs(ratio) > 1)
-    return np.where(clear, ratio, 0).astype(np.float32)
+    raw, target, bad = np.concatenate([np.frombuffer(c, "<i8").reshape(3, -1) for _, c, _ in got], axis=1)
+    n_raw, n_target, n_bad = np.frombuffer(got[0][2], "<i8")
+    ratio = log_ratio(target, raw, n_target / n_raw, raw * (n_target / n_raw), prior)
+    if n_bad:
+        other = log_ratio(target, target + bad, n_target / (n_target + n_bad), bad * (n_target / n_bad), prior)
+        ratio = np.where(np.abs(other) > np.abs(ratio), other, ratio)
+    return ratio.astype(np.float32)
 
 
 def _weights(bits: int, model):
@@ -172,24 +196,25 @@ def resample(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_text: bool = True,
+    bad_ids: DataFrame | None = None,
 ) -> DataFrame:
     """Draw documents by their importance for the target, the labelled good documents, without replacement.
 
     The log weight of a document is the sum over its hashed n-grams of the log ratio of the target's and the raw text's
-    models. The ``k`` largest of log weight / ``temperature`` + Gumbel noise are a sample of k by these weights. Without
+    models, or, where it is further from 0, of the target's and the labelled bad documents' (``bad_ids``). The ``k`` largest of log weight / ``temperature`` + Gumbel noise are a sample of k by these weights. Without
     ``k`` as many are drawn as have a log weight of ``least`` or more, that is, as the classifier accepts. The noise is a
     hash of id and text, so a rerun draws the same. The k-th largest key is found exactly from histograms.
 
     Returns the columns of ``df`` (its text only with ``keep_text``) but those named ``log_weight``, ``draw_key`` double and ``kept`` boolean, which are added.
     Null and empty texts weigh 0; rows with null ids are never targets; equal rows have equal keys, and a tie at the cut
-    is kept as a whole; without labels all weights are 0; an empty table gives no rows. Ids are cast to long for the labels.
+    is kept as a whole; without target labels all weights are 0; an empty table gives no rows. Ids are cast to long for the labels.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "quality")
     added = ("log_weight", "draw_key", "kept")
     names = [c for c in df.columns if c not in added]
     df = df.select(*[F.col(f"`{c}`") for c in names])
-    model = spark.sparkContext.broadcast(fit(df, target_ids, bits, prior, max_labelled, id_col, text_col))
+    model = spark.sparkContext.broadcast(fit(df, target_ids, bad_ids, bits, prior, max_labelled, id_col, text_col))
     inner = [f"c{i}" for i in range(len(names))]
     place = dict(zip(names, inner, strict=True))
 
@@ -209,3 +234,8 @@ def good_ids(labels: DataFrame) -> DataFrame:
     """Ids whose labels all say good quality and not toxic."""
     by_id = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     return by_id.where("q = 1 and t = 0").select("doc_id")
+
+
+def bad_ids(labels: DataFrame) -> DataFrame:
+    """Ids of which some label says bad quality or toxic."""
+    return labels.where("quality = 0 or toxic = 1").select("doc_id").distinct()

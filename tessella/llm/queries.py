@@ -92,7 +92,7 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn by their importance for the labelled good ones."""
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
-    return quality.resample(docs, quality.good_ids(labels), keep_text=False).select("doc_id", "log_weight", "draw_key", "kept")
+    return quality.resample(docs, quality.good_ids(labels), keep_text=False, bad_ids=quality.bad_ids(labels)).select("doc_id", "log_weight", "draw_key", "kept")
 
 
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """The classifier on held-out labels, the draw against a full sort."""
 
 import random
+from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import quality
@@ -67,3 +69,31 @@ def test_features_are_presence(spark):
 def test_good_ids(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, 1, 0), (4, 0, 0), (5, None, None)], "doc_id long, quality int, toxic int")
     assert [r[0] for r in quality.good_ids(labels).collect()] == [1]
+    assert sorted(r[0] for r in quality.bad_ids(labels).collect()) == [2, 3, 4]
+
+
+def test_chance_is_by_share():
+    zero, n = np.zeros(4, np.int64), np.array([0, 8, 30, 300])
+    got = quality.log_ratio(zero, n, 0.3, n * 0.3, 5.0)
+    assert (got[:2] == 0).all() and (got[2:] < -1).all()
+    for rate in (0.0, 0.3, 1.0):  # a share as expected, and no labels or labels of all
+        t = (1000 * n * rate).astype(np.int64)
+        assert (quality.log_ratio(t, 1000 * n, rate, t, 5.0) == 0).all()
+
+
+@pytest.mark.parametrize("size, toxic, least", [("sf0.01", 0.4, {"en": 0.5}), ("sf0.1", 0.7, {"en": 0.99, "de": 0.25})])
+def test_recall_by_language(spark, size, toxic, least):
+    """Labels that took no part: toxic documents that go, by language, and good ones that stay."""
+    path = f"/root/testdata/{size}"
+    if not Path(path).is_dir():
+        pytest.skip("no tables")
+    docs, labels = (spark.read.parquet(f"{path}/{x}.parquet") for x in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    learn = labels.where(half)
+    out = quality.resample(docs, quality.good_ids(learn), keep_text=False, bad_ids=quality.bad_ids(learn))
+    rows = out.join(labels.where(~half), "doc_id").select("lang", "kept", "quality", "toxic").collect()
+    gone = {x: [not r.kept for r in rows if r.toxic and x in ("", r.lang)] for x in ("", "en", "de", "fr", "es")}
+    good = [r.kept for r in rows if r.quality and not r.toxic]
+    print(size, {x: (sum(g), len(g)) for x, g in gone.items()}, "good kept", sum(good), len(good))
+    assert np.mean(gone[""]) >= toxic and np.mean(good) > 0.98
+    assert all(np.mean(gone[x]) >= share for x, share in least.items())
