@@ -1,10 +1,12 @@
 """Sharding, line dedup and decontamination against brute force."""
 
+import contextlib
 import hashlib
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import decontam, line_dedup, sharding
 
@@ -36,6 +38,68 @@ def test_shards(spark, rows):
     assert sharding.external_shuffle(df.limit(0)).count() == 0
 
 
+@contextlib.contextmanager
+def settings(spark, **values):
+    names = {"partitions": "spark.sql.shuffle.partitions", "adaptive": "spark.sql.adaptive.enabled", "broadcast": "spark.sql.autoBroadcastJoinThreshold", "split": "spark.sql.files.maxPartitionBytes"}
+    before = {names[k]: spark.conf.get(names[k]) for k in values}
+    for k, v in values.items():
+        spark.conf.set(names[k], str(v))
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_one_order_under_any_plan(spark, tmp_path):
+    """The same deal whatever the partitions, the splits of the input, adaptive plans and joins."""
+    made = spark.range(6000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    made.repartition(5).write.parquet(str(tmp_path / "d"))
+    orders = []
+    for n, adaptive, broadcast, split in [(4, True, "10MB", "128MB"), (4, True, "10MB", "128MB"), (7, True, "10MB", "128MB"), (13, False, -1, "20KB"), (2, False, "10MB", "128MB"), (7, True, -1, "50KB")]:
+        with settings(spark, partitions=n, adaptive=str(adaptive).lower(), broadcast=broadcast, split=split):
+            got = sharding.external_shuffle(spark.read.parquet(str(tmp_path / "d")), bucket_bytes=3000)
+            orders.append([r.doc_id for r in got.orderBy("slot", "shard").select("doc_id").collect()])
+    assert len(orders[0]) == 6000 and all(o == orders[0] for o in orders)
+    # As far from sorted as chance is: neighbours differ by a third of the range on average.
+    assert abs(sum(abs(a - b) for a, b in zip(orders[0], orders[0][1:], strict=False)) / 5999 - 2000) < 150
+    other = sharding.external_shuffle(spark.read.parquet(str(tmp_path / "d")), bucket_bytes=3000, seed=18)
+    assert [r.doc_id for r in other.orderBy("slot", "shard").select("doc_id").collect()] != orders[0]
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    """100,000 equal rows without id: each keeps a slot, no bucket and no task takes them all."""
+    same = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"), F.create_map(F.lit("k"), F.lit(1)).alias("m"))
+    df = same.unionByName(spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit("other").alias("text"), F.create_map(F.lit("k"), F.col("id").cast("int")).alias("m")))
+    with settings(spark, partitions=16):
+        got = sharding.external_shuffle(df, n_shards=8, bucket_bytes=100_000)
+        assert got.agg(F.count("*"), F.countDistinct("shard", "slot"), F.max("slot"), F.count("doc_id"), F.countDistinct("m.k")).first()[:] == (150_000, 150_000, 18_749, 50_000, 50_000)
+        share = got.groupBy("shard", F.floor(F.col("slot") / 1000)).agg(F.avg(F.col("doc_id").isNull().cast("double")).alias("s")).agg(F.min("s"), F.max("s")).first()
+        assert 0.5 < share[0] < share[1] < 0.85
+
+
+def test_write_shards(spark, rows, tmp_path):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = sharding.external_shuffle(df, n_shards=3, bucket_bytes=900)
+    sharding.write_shards(dealt, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda r: (r.shard, r.slot, str(r.doc_id), str(r.text))
+    assert sorted(map(key, back.collect())) == sorted(map(key, dealt.collect()))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["shard=0", "shard=1", "shard=2"]
+    for k in range(3):
+        slots = [r.slot for r in spark.read.parquet(str(tmp_path / "out" / f"shard={k}")).coalesce(1).collect()]
+        assert slots == sorted(slots) == list(range(len(slots)))
+
+
+def test_many_lines_of_one_text(spark):
+    """200,000 dropped lines of one text take seconds, as do equal rows without id."""
+    lines = [f"this line number {i} is in all of them" for i in range(200_000)]
+    docs = [(i, "\n".join([f"own {i}", *lines, "end"])) for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").unionByName(spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(lines[0]).alias("text")))
+    out = line_dedup.dedup_lines(df)
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in out.where("doc_id is not null").collect()}
+    assert got == {0: (200_002, 200_000, "own 0\nend"), 1: (200_002, 200_000, "own 1\nend"), 2: (200_002, 0, docs[2][1])}
+    assert out.where("doc_id is null and n_dropped = 0 and n_lines = 1").count() == 20_000
+
+
 def test_lines(spark, rows):
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, line string")
     got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(df).collect()), key=str)
