@@ -123,7 +123,8 @@ def dedup_substrings(df: DataFrame, window: int = 50, id_col: str = "doc_id", te
     marks = anchors.join(shared, "anchor").groupBy("id", "th").agg(F.collect_set("anchor").alias("anchors"))
     marks = scratch.put(marks)
     scratch.drop(anchors, shared)
-    marks_first = marks.join(firsts, "th").where(F.col("id") == F.col("first")).select("id", "th", "anchors")
+    # By id and text hash, never by the hash alone, so that the copies of one text are spread.
+    marks_first = marks.join(firsts.withColumnRenamed("first", "id"), ["id", "th"]).select("id", "th", "anchors")
     found = keyed.join(marks_first.hint("shuffle_hash"), ["id", "th"]).mapInArrow(_windows(window, gram), f"id {kind}, th long, h long, g int")
     found = scratch.put(found)
     scratch.drop(marks)
@@ -132,13 +133,14 @@ def dedup_substrings(df: DataFrame, window: int = 50, id_col: str = "doc_id", te
     gone = scratch.put(gone)
     scratch.drop(found, mins)
 
-    copies = keyed.select("id", "th").join(firsts, "th").where(F.col("first") < F.col("id")).select("id", "th").distinct()
+    copies = keyed.select("id", "th").distinct().join(firsts.withColumnRenamed("first", "id"), ["id", "th"], "left_anti")
     flags = copies.select("id", "th", F.lit(True).alias("copy"), F.lit(None).cast("array<long>").alias("gone"))
     flags = scratch.put(flags.unionByName(gone.select("id", "th", F.lit(False).alias("copy"), "gone")))
     scratch.drop(firsts, gone)
     names = [f"c{i}" for i in range(len(kept))]
     docs = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)], F.col(id_col).alias("id"), text_key.alias("th"))
-    out = docs.join(flags.hint("shuffle_hash"), ["id", "th"], "left")
+    out = docs.where(F.col("id").isNotNull()).join(flags.hint("shuffle_hash"), ["id", "th"], "left")
+    out = out.unionByName(docs.where(F.col("id").isNull()), allowMissingColumns=True)
     text = names[kept.index(text_col)]
     out = out.select(*names, F.col(text).cast("binary").alias("text"), "copy", "gone")
     schema = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, kept, strict=True))
