@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import Scratch, blocks_for
+from .wordhash import column
 
 #: Words are runs of ASCII letters, digits and all non-ASCII bytes; everything else divides them.
 WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
@@ -70,19 +73,63 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
+HITS = [StructField("n_words", LongType()), StructField("hit_spans", ArrayType(SPAN)), StructField("item_ids", ArrayType(StringType()))]
+
+
+def _batch(batch: pa.RecordBatch, kept: list[str], n_words: list[int], spans: list, ids: list) -> pa.RecordBatch:
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    made = [pa.array(n_words, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], span), pa.array(ids, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*[column(batch, c) for c in kept], *made], [*kept, "n_words", "hit_spans", "item_ids"])
+
+
+def _search(found, window: int, text_col: str, kept: list[str]):
+    """The words, merged hits and items of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searchers = machines(found.value, window)
+        for batch in batches:
+            n_words, spans, ids = [], [], []
+            for text in column(batch, text_col).cast(pa.binary()).to_pylist():
+                w, hits, of = words(text), [], set()
+                for m in searchers:
+                    for start, which in m.find(w):
+                        hits.append((start, start + m.length))
+                        of |= which
+                n_words.append(len(w))
+                spans.append(_merge(hits))
+                ids.append(sorted(of))
+            yield _batch(batch, kept, n_words, spans, ids)
+
+    return run
+
+
+def _merged(text_col: str, kept: list[str]):
+    """The hits of all parts as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words = [len(words(t)) for t in column(batch, text_col).cast(pa.binary()).to_pylist()]
+            spans = [_merge([(s["start"], s["end"]) for s in x]) for x in column(batch, "__spans").to_pylist()]
+            yield _batch(batch, kept, n_words, spans, column(batch, "__ids").to_pylist())
+
+    return run
+
+
 def find_leaks(
     df: DataFrame,
     benchmark: DataFrame,
     window: int = 10,
-    part_bytes: int = 8 << 20,
+    part_bytes: int = 4 << 20,
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
     """Mark the words of every document that lie in an occurrence of a benchmark window.
 
-    The benchmark's size is measured first. It is searched in parts of about ``part_bytes`` of text, one broadcast
-    part at a time and a written table between two, so that memory stays bounded for any benchmark.
+    The benchmark's distinct items are measured first. They are searched in parts of about ``part_bytes`` of text, one
+    broadcast part at a time, so that memory stays bounded for any benchmark. Beyond one part, a pass over the documents
+    writes only the hits of those that have some, by hash of the text; the hits are merged and joined back.
 
     Returns the columns of ``df`` with ``n_words`` long, ``hit_spans`` array of (start, end) in words, merged and sorted, and
     ``item_ids``, the sorted ids as strings. Null, empty or wordless texts have no words and no hits; items without words
@@ -90,45 +137,32 @@ def find_leaks(
     nothing. Columns of ``df`` with the three output names are replaced.
     """
     spark = df.sparkSession
-    scratch = Scratch(spark, "leaks")
     added = ("n_words", "hit_spans", "item_ids")
     kept = [c for c in df.columns if c not in added]
-    parts = blocks_for(benchmark.agg(F.sum(F.octet_length(item_text_col))).first()[0], part_bytes)
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("binary").alias("text"))
-    kinds = {f.name: f.dataType for f in df.schema}
-    fields = [df.schema[c] for c in kept]
-    from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
-
-    span = StructType([StructField("start", LongType()), StructField("end", LongType())])
-    schema = StructType([*fields, StructField("n_words", LongType()), StructField("hit_spans", ArrayType(span)), StructField("item_ids", ArrayType(StringType()))])
-    arrow_span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    now = df.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("n_words"), F.array().cast(ArrayType(span)).alias("hit_spans"), F.array().cast("array<string>").alias("item_ids"))
-    assert text_col in kinds
-
-    for k in range(parts):
+    docs = df.select(*[F.col(f"`{c}`") for c in kept])
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null").distinct()
+    parts = blocks_for(items.agg(F.sum(F.octet_length("text"))).first()[0], part_bytes)
+
+    def part(k: int):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        found = spark.sparkContext.broadcast([(r["item"], None if r["text"] is None else bytes(r["text"])) for r in mine.collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
-            searchers = machines(found.value, window)
-            for batch in batches:
-                at = {c: batch.schema.get_field_index(c) for c in (text_col, *added)}
-                texts = batch.column(at[text_col]).cast(pa.binary()).to_pylist()
-                spans, ids, n_words = batch.column(at["hit_spans"]).to_pylist(), batch.column(at["item_ids"]).to_pylist(), []
-                for i, text in enumerate(texts):
-                    w = words(text)
-                    n_words.append(len(w))
-                    hits, of = [(s["start"], s["end"]) for s in spans[i]], set(ids[i])
-                    for m in searchers:
-                        for start, which in m.find(w):
-                            hits.append((start, start + m.length))
-                            of |= which
-                    spans[i], ids[i] = [{"start": a, "end": b} for a, b in _merge(hits)], sorted(of)
-                cols = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-                cols += [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(arrow_span)), pa.array(ids, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, [*kept, *added])
-
-        now = now.mapInArrow(run, schema)
-        if k + 1 < parts:
-            now = scratch.put(now)
-    return now
+        return spark.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in mine.collect()])
+
+    if parts == 1:
+        return docs.mapInArrow(_search(part(0), window, text_col, kept), StructType([*[df.schema[c] for c in kept], *HITS]))
+
+    scratch = Scratch(spark, "leaks")
+    texts = docs.select(F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2"), F.col(text_col).alias("text"))
+    keys = [StructField("t1", LongType()), StructField("t2", LongType())]
+    found = [scratch.put(texts.mapInArrow(_search(part(k), window, "text", ["t1", "t2"]), StructType([*keys, *HITS])).where(F.size("hit_spans") > 0).distinct()) for k in range(parts)]
+    every = functools.reduce(DataFrame.unionByName, found).groupBy("t1", "t2")
+    hits = every.agg(F.flatten(F.collect_list("hit_spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    hits = scratch.put(hits.select("t1", "t2", F.array_sort("spans").alias("hit_spans"), "item_ids"))
+    scratch.drop(*found)
+    # A copied text's hits reach each of its rows: rows of one text are many, its hits one row, and a hot side can be split.
+    none = StructType(HITS)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2"))
+    joined = own.join(hits, ["t1", "t2"], "left")
+    flat = [F.col("row").getField(c).alias(c) for c in kept]
+    return joined.select(*flat, F.coalesce("hit_spans", F.array().cast(none["hit_spans"].dataType)).alias("__spans"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("__ids")).mapInArrow(
+        _merged(text_col, kept), StructType([*[df.schema[c] for c in kept], *HITS])
+    )
