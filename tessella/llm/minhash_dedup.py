@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import components
 from .wordhash import BASES, WordHashes, column, distinct, mix, rolling, signed, spans, text_chunks
 
-#: Shingles of the sets of one side of a block of comparisons, and those compared in one matrix product.
-BLOCK, SLICE = 200_000, 8192
+#: Shingles and sets of one side of a block of comparisons, and shingles compared in one matrix product.
+BLOCK, ROWS, SLICE = 200_000, 1024, 8192
 
 
 def jumps(bins: int, tries: int, seed: int = 1) -> np.ndarray:
@@ -98,8 +98,21 @@ def _sets(width: int):
     return run
 
 
+def _counts(width: int, names: list[str]):
+    """The size of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            texts = column(batch, "__text").to_pylist()
+            sizes = [len(x) for a, b in text_chunks(texts) for x in shingle_sets([(t or b"").lower().split() for t in texts[a:b]], hashes, width)]
+            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in names], pa.array(sizes, pa.int64())], [*names, "n"])
+
+    return run
+
+
 def _compare(percent: int):
-    """Exact similarity of every row of one side with every row of the other; links that join further components."""
+    """Exact similarity of every row of one side with every row of the other; pairs of components that a link joins."""
 
     def run(block: pa.Table) -> pa.Table:
         side = block.column("side").to_numpy().astype(bool)
@@ -116,15 +129,16 @@ def _compare(percent: int):
         ids = np.where(both, np.cumsum(both) - 1, -1)[word]
         order = np.argsort(ids, kind="stable")
         ids, row, here = ids[order], row[order], here[order]
-        meet = np.zeros((len(left), len(right)), np.float32)
+        meet = np.zeros((len(left), len(right)), np.int32)
         for lo in range(0, int(both.sum()), SLICE):
             a, b = np.searchsorted(ids, (lo, lo + SLICE))
             grids = [np.zeros((len(x), SLICE), np.float32) for x in (left, right)]
             for grid, mine in zip(grids, (here[a:b], ~here[a:b]), strict=True):
                 grid[place[row[a:b][mine]], ids[a:b][mine] - lo] = 1
-            meet += grids[0] @ grids[1].T
-        union = sizes[left][:, None] + sizes[right][None, :] - meet
-        good = (100 * meet >= percent * union) & (comp[left][:, None] != comp[right][None, :])
+            meet += (grids[0] @ grids[1].T).astype(np.int32)  # whole numbers of at most SLICE, exact
+        # 100 * meet >= percent * union, in whole numbers
+        good = (100 + percent) * meet.astype(np.int64) >= percent * (sizes[left][:, None] + sizes[right][None, :])
+        good &= comp[left][:, None] != comp[right][None, :]
         root = list(range(int(comp.max(initial=-1)) + 1))
 
         def find(x: int) -> int:
@@ -139,8 +153,8 @@ def _compare(percent: int):
                 root[x] = y
                 out_a.append(left[i])
                 out_b.append(right[k])
-        rep = block.column("rep").combine_chunks()
-        return pa.table({"a": rep.take(pa.array(out_a, pa.int64())), "b": rep.take(pa.array(out_b, pa.int64()))})
+        of = block.column("comp").combine_chunks()
+        return pa.table({"a": of.take(pa.array(out_a, pa.int64())), "b": of.take(pa.array(out_b, pa.int64()))})
 
     return run
 
@@ -154,6 +168,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * meet >= F.lit(percent) * union).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def _rare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(token, rep, n, comp): the rarest shingles of each set, as many as two similar sets can't both do without.
+
+    Similar sets share ``percent`` hundredths of either, so the n - ceil(n * percent / 100) + 1 first shingles of each, in one
+    order of all shingles, have one in common. In the order from the rarest to the commonest among ``members`` a phrase
+    that many share brings none of them together. Shingles of one component alone are left out.
+    """
+    each = members.join(sets, members["rep"] == sets["id"]).select("rep", "n", "comp", F.explode("s").alias("g"))
+    held = each.groupBy("g").agg(F.count(F.lit(1)).alias("d"), (F.min("comp") < F.max("comp")).alias("live"))
+    first = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")
+    order = each.join(held, "g").groupBy("rep", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("d", "g", "live"))).alias("gs"))
+    return order.select("rep", "n", "comp", F.explode(F.slice("gs", F.lit(1), first)).alias("x")).where("x.live").select(F.col("x.g").alias("token"), "rep", "n", "comp")
+
+
 def near_duplicates(
     df: DataFrame,
     width: int = 5,
@@ -167,9 +195,10 @@ def near_duplicates(
 
     Equal sets form a class, known by a 128-bit key; its least id stands for it. One-permutation signatures of
     ``bands`` x ``rows`` bins put representatives into buckets (a pair at 0.8 is missed by all 25 bands of 5 with
-    probability 5e-5, at 0.85 with 4e-7). In a bucket candidates form a star around its least id; every candidate is
-    confirmed on full sets. Where that leaves a bucket in several components, the members outside its largest one are
-    compared with all of its members on full sets, in blocks, so the stars lose no component.
+    probability 5e-5, at 0.85 with 4e-7); sets too small to be similar to any other set stay out. In a bucket candidates form
+    a star around its least id; every candidate is confirmed on full sets. Where that leaves buckets in several
+    components, their members that share a rare shingle across components (``_rare``) are compared on full sets, those outside the
+    largest component of a shingle with all that have it, in blocks bounded in sets and shingles, so the stars lose no component.
 
     Returns the columns of ``df`` but those named ``n_shingles`` long, ``component_id`` and ``kept``, which are added.
     A document without words has an empty set and is linked with nothing; one with fewer words than a shingle is one
@@ -194,7 +223,8 @@ def near_duplicates(
     several = member.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("id")
     tied = member.join(scratch.put(several), "id").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
+    # The next larger set is the most similar other one that a set of n can have.
+    banded = classes.where(F.lit(100) * F.col("n") >= F.lit(percent) * (F.col("n") + 1)).select("rep", "n", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
     hubs = scratch.put(hubs.select("band", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n")))
     buckets = scratch.put(banded.join(hubs, "band"))
@@ -208,35 +238,41 @@ def near_duplicates(
     links = scratch.put(_verified(pairs, sets, percent).unionByName(tied))
     groups = scratch.put(components(links, scratch))
 
-    # A bucket that its star left in several components is open: its members outside its largest component are
-    # compared with all of its members, in blocks of bounded size.
+    # Buckets that their stars left in several components.
     labelled = buckets.where("rep <> hub").join(groups, F.col("rep") == F.col("node"), "left")
     labelled = scratch.put(labelled.select("band", "rep", "n", F.coalesce("component", "rep").alias("comp")))
-    parts = labelled.groupBy("band", "comp").agg(F.sum("n").alias("of")).groupBy("band")
-    parts = parts.agg(F.max(F.struct("of", "comp")).alias("most"), F.sum("of").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    chunks = lambda size: F.ceil(size / BLOCK).cast("int")
-    parts = scratch.put(parts.select("band", F.col("most.comp").alias("main"), chunks(F.col("all") - F.col("most.of")).alias("outs"), chunks(F.col("all")).alias("alls")))
-    rest = labelled.join(parts, "band").withColumn("h", F.xxhash64("rep", F.lit(9)))
+    open_bands = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    rare = scratch.put(_rare(labelled.join(open_bands, "band").select("rep", "n", "comp").distinct(), sets, percent))
+    parts = rare.groupBy("token", "comp").agg(F.sum("n").alias("of"), F.count(F.lit(1)).alias("c")).groupBy("token")
+    parts = parts.agg(F.max(F.struct("of", "c", "comp")).alias("most"), F.sum("of").alias("all"), F.sum("c").alias("rows"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    chunks = lambda size, rows: F.ceil(F.greatest(size / BLOCK, rows / ROWS)).cast("int")
+    outs, alls = chunks(F.col("all") - F.col("most.of"), F.col("rows") - F.col("most.c")), chunks(F.col("all"), F.col("rows"))
+    parts = scratch.put(parts.select("token", F.col("most.comp").alias("main"), outs.alias("outs"), alls.alias("alls")))
+    rest = rare.join(parts, "token").withColumn("h", F.xxhash64("rep", F.lit(9)))
     outer = rest.where("comp <> main").withColumn("oc", F.pmod("h", "outs")).withColumn("mc", F.explode(F.sequence(F.lit(0), F.col("alls") - 1)))
     inner = rest.withColumn("mc", F.pmod("h", "alls")).withColumn("oc", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)))
-    cells = [x.select("band", F.col("oc").cast("long").alias("oc"), F.col("mc").cast("long").alias("mc"), "rep", "comp", F.lit(side).alias("side")) for x, side in ((outer, True), (inner, False))]
+    cells = [x.select("token", F.col("oc").cast("long").alias("oc"), F.col("mc").cast("long").alias("mc"), "rep", "comp", F.lit(side).alias("side")) for x, side in ((outer, True), (inner, False))]
     cells = scratch.put(cells[0].unionByName(cells[1]))
-    placed = cells.join(sets, cells["rep"] == sets["id"]).select("band", "oc", "mc", "rep", "comp", "side", "s")
-    more = placed.groupBy("band", "oc", "mc").applyInArrow(_compare(percent), f"a {kind}, b {kind}")
-    links = scratch.put(links.unionByName(more))
-    groups = scratch.put(components(links, scratch))
-    scratch.drop(labelled, parts, cells)
-
-    by_id = member.join(groups, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    by_row = profile.groupBy("id", "th").agg(F.max("n").alias("n")).join(by_id, "id", "left")
+    placed = cells.join(sets, cells["rep"] == sets["id"]).select("token", "oc", "mc", "comp", "side", "s")
+    more = scratch.put(placed.groupBy("token", "oc", "mc").applyInArrow(_compare(percent), f"a {kind}, b {kind}"))
+    # Components are known by their least member, and so are components of components.
+    joined = scratch.put(components(more, scratch)).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    by_id = member.join(groups, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("part"))
+    by_id = by_id.join(joined, "part", "left").groupBy("id").agg(F.min(F.coalesce("whole", "part")).alias("component"))
+    by_row = profile.where("id is not null").groupBy("id", "th").agg(F.max("n").alias("n")).join(by_id, "id", "left")
     by_row = scratch.put(by_row.select(F.col("id").alias("row_id"), F.col("th").alias("row_th"), "n", F.coalesce("component", "id").alias("component")))
-    scratch.drop(profile, classes, member, buckets, sets, hubs)
-
-    docs = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(id_col).alias("id"), text_key.alias("th"))
-    out = docs.join(by_row.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("row_id")) & (F.col("th") == F.col("row_th")), "left")
-    return out.select(
-        *[F.col("row").getField(c).alias(c) for c in kept],
-        F.col("n").alias("n_shingles"),
-        F.col("component").alias("component_id"),
-        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
-    )
+    scratch.drop_all_but(by_row)
+
+    docs = df.where(F.col(id_col).isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(id_col).alias("id"), text_key.alias("th"))
+    out = docs.join(by_row.hint("shuffle_hash"), (F.col("id") == F.col("row_id")) & (F.col("th") == F.col("row_th")), "left")
+    out = out.select(*[F.col("row").getField(c).alias(c) for c in kept], *_result(F.col("n"), F.col("component"), F.col("id").eqNullSafe(F.col("component"))))
+    # Rows without an id are joined with nothing.
+    places = [f"c{i}" for i in range(len(kept))]
+    alone = df.where(F.col(id_col).isNull()).select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, places, strict=True)], F.col(text_col).cast("binary").alias("__text"))
+    schema = "".join(f"{i} {df.schema[c].dataType.simpleString()}, " for c, i in zip(kept, places, strict=True))
+    alone = alone.mapInArrow(_counts(width, places), f"{schema}n long")
+    return out.unionByName(alone.select(*[F.col(i).alias(c) for c, i in zip(kept, places, strict=True)], *_result(F.col("n"), F.lit(None).cast(kind), F.lit(True))))
+
+
+def _result(n: Column, component: Column, kept: Column) -> list[Column]:
+    return [n.alias("n_shingles"), component.alias("component_id"), kept.alias("kept")]

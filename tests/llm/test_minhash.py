@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import minhash_dedup
 from tessella.llm.components import components
@@ -57,6 +58,59 @@ def test_against_brute_force(spark, width, percent):
     assert set(got[0].asDict()) == {"doc_id", "text", "n", "n_shingles", "component_id", "kept"}
 
 
+def test_blocks_of_any_bounds(spark, monkeypatch):
+    """Chains of edits, whose stars leave many components, in blocks of a few sets and shingles."""
+    rng = random.Random(12)
+    vocab, rows = [f"w{i}" for i in range(300)], []
+    for n in (20, 40, 60):
+        base = [rng.choice(vocab) for _ in range(n)]
+        for _ in range(40):
+            rows.append((len(rows), " ".join(base)))
+            base = [w if rng.random() > 0.02 else rng.choice(vocab) for w in base]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(i, c) for i, _, c, _ in brute(rows, 3, 85)]
+    for block, most in ((200_000, 1024), (90, 1024), (200_000, 3)):
+        monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+        monkeypatch.setattr(minhash_dedup, "ROWS", most)
+        assert sorted((r.doc_id, r.component_id) for r in minhash_dedup.near_duplicates(df, width=3, percent=85).collect()) == sorted(want)
+
+
+def test_common_phrases_dont_meet(spark, monkeypatch):
+    """50,000 documents of two shingles that share one, and as many that share a phrase: no blocks for either."""
+    compared = []
+    put = Scratch.put
+
+    def spy(self, df):
+        out = put(self, df)
+        if "oc" in df.columns:
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "put", spy)
+    tiny = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one common phrase "), "id").alias("text"))
+    phrase = F.lit(" that very many of the documents here share by chance ")
+    long = spark.range(50_000, 70_000).select(F.col("id").alias("doc_id"), F.concat(F.concat_ws(" ", *[F.xxhash64("id", F.lit(i)) for i in range(5)]), phrase).alias("text"))
+    big = " ".join(f"v{i * i % 9973}" for i in range(200_000))
+    some = spark.createDataFrame([(90_000, big), (90_001, big + " end"), (90_002, big[: len(big) // 2])], "doc_id long, text string")
+    out = minhash_dedup.near_duplicates(tiny.union(long).union(some), width=3, percent=85)
+    moved = {r.doc_id: r.component_id for r in out.where("doc_id <> component_id").collect()}
+    assert moved in ({90_001: 90_000}, {90_001: 90_000, 90_002: 90_000}) and out.count() == 70_003
+    assert sum(compared) < 100
+
+
+def test_a_block_fits_in_memory():
+    """The largest block that the bounds allow: 1024 sets of 195 shingles a side, most of them shared."""
+    import resource
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.choice(4000, 195, replace=False)).astype(np.int64) for _ in range(2048)]
+    block = pa.table({"side": [i < 1024 for i in range(2048)], "comp": pa.array(range(2048), pa.int64()), "s": pa.array(sets, pa.list_(pa.int64()))})
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = minhash_dedup._compare(2)(block)
+    assert got.num_rows and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kB
+
+
 def test_empty(spark):
     assert minhash_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
