@@ -14,8 +14,8 @@ from .common import Scratch
 from .components import components
 from .wordhash import column, mix, signed
 
-#: Vectors of one side of a block of comparisons, and pairs looked at together.
-BLOCK, PAIRS = 1024, 100_000
+#: Vectors of one side of a block of comparisons, those multiplied at once, and pairs looked at together.
+BLOCK, SLICE, PAIRS = 4096, 512, 100_000
 
 
 def _hash(tables: int, projections: int, width: float, seed: int):
@@ -53,7 +53,7 @@ def _block(least: float):
     def run(block: pa.Table) -> pa.Table:
         at = lambda c: block.column(c).combine_chunks()
         rows = block.num_rows
-        k1, k2, n, chunk = (at(c).to_numpy() for c in ("k1", "k2", "n", "chunk"))
+        n, chunk = at("n").to_numpy(), at("chunk").to_numpy()
         x, sig = at("v").flatten().to_numpy().reshape(rows, -1), at("sig").flatten().to_numpy().reshape(rows, -1)
         table, i, j = (at(c)[0].as_py() for c in ("t", "i", "j"))
         left = np.flatnonzero(chunk == i)
@@ -65,26 +65,26 @@ def _block(least: float):
                 root[y] = y = root[root[y]]
             return y
 
-        good = x[left] @ x[right].T >= least
-        if i == j:
-            good &= np.tri(len(left), k=-1, dtype=bool)
-        p, q = np.nonzero(good)
-        for lo in range(0, len(p), PAIRS):
-            l, r = left[p[lo : lo + PAIRS]], right[q[lo : lo + PAIRS]]  # noqa: E741
-            new = ~(sig[l, :table] == sig[r, :table]).any(axis=1)
-            l, r = l[new], r[new]  # noqa: E741
-            np.add.at(links, l, n[r])
-            np.add.at(links, r, n[l])
-            for u, w in zip(l.tolist(), r.tolist(), strict=True):
-                y, z = find(u), find(w)
-                if y != z:
-                    root[y] = z
-                    a.append(u)
-                    b.append(w)
+        for start in range(0, len(left), SLICE):
+            part = left[start : start + SLICE]
+            p, q = np.nonzero(x[part] @ x[right].T >= least)
+            if i == j:
+                p, q = p[p + start > q], q[p + start > q]
+            for lo in range(0, len(p), PAIRS):
+                l, r = part[p[lo : lo + PAIRS]], right[q[lo : lo + PAIRS]]  # noqa: E741
+                new = ~(sig[l, :table] == sig[r, :table]).any(axis=1)
+                l, r = l[new], r[new]  # noqa: E741
+                links += np.bincount(l, n[r], rows).astype(np.int64) + np.bincount(r, n[l], rows).astype(np.int64)
+                for u, w in zip(l.tolist(), r.tolist(), strict=True):
+                    y, z = find(u), find(w)
+                    if y != z:
+                        root[y] = z
+                        a.append(u)
+                        b.append(w)
         m = np.flatnonzero(links)
         first, second = np.r_[m, np.array(a, np.int64)], np.r_[m, np.array(b, np.int64)]
-        more = np.r_[links[m], np.zeros(len(a), np.int64)]
-        return pa.table({"a1": k1[first], "a2": k2[first], "b1": k1[second], "b2": k2[second], "links": more})
+        node = at("node")
+        return pa.table({"a": node.take(pa.array(first)), "b": node.take(pa.array(second)), "links": np.r_[links[m], np.zeros(len(a), np.int64)]})
 
     return run
 
@@ -105,7 +105,8 @@ def near_vectors(
     Equal vectors form a class. A pair at distance c shares one of the ``projections`` cells of ``width`` with the
     p-stable probability p(c), so with the defaults a pair at cosine 0.98 (c = 0.2, p = 0.87) is missed by all tables with
     probability 4e-4, and closer pairs with less, while unrelated vectors (c = 1.4, p = 0.32) meet with 1e-6 a table. All
-    pairs of a bucket are checked in blocks of ``BLOCK`` vectors, inside tasks: no bucket is cut and no list of pairs is made.
+    pairs of a bucket are checked in blocks of ``BLOCK`` vectors a side, inside tasks: no bucket is cut and no list of pairs is
+    made. Buckets of several tables with the same members, as a tight cluster has, are checked once.
 
     Returns the columns of ``df`` but those named ``n_links`` long, ``component_id`` and ``kept``, which are added. A
     vector that is null, empty, zero or holds a null or non-finite component, or whose label is null, links with nothing;
@@ -122,36 +123,40 @@ def near_vectors(
     rows = df.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"), keys[0].alias("k1"), keys[1].alias("k2"))
     rows = rows.where("k1 is not null")
     classes = rows.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("label").alias("label"), F.min("v").alias("v"))
-    classes = scratch.put(classes)
+    # A class is known by its least id first, so that the least of a component's nodes holds the component's least id.
+    node = F.struct(F.col("first").isNull().alias("none"), "first", "k1", "k2").alias("node")
+    classes = scratch.put(classes.select(node, "k1", "k2", "n", "label", "v"))
     hashed = scratch.put(classes.select("k1", "k2", "n", "label", "v").mapInArrow(_hash(tables, projections, width, seed), "k1 long, k2 long, n long, v array<double>, sig array<long>"))
 
     spread = hashed.select("k1", "k2", F.posexplode("sig").alias("t", "bucket"))
-    shared = spread.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = scratch.put(shared.select("t", "bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks")))
+    shared = spread.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("k1", "k2").cast("decimal(38,0)")).alias("who")).where("m > 1")
+    shared = shared.groupBy("m", "who").agg(F.min(F.struct("t", "bucket")).alias("x"))
+    shared = scratch.put(shared.select("x.t", "x.bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks")))
     members = spread.join(shared, ["t", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("k1", "k2"), F.col("chunks")).cast("int"))
     cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = cells.select("k1", "k2", "t", "bucket", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    blocks = scratch.put(cells).join(hashed, ["k1", "k2"]).groupBy("t", "bucket", "i", "j")
-    found = scratch.put(blocks.applyInArrow(_block(least), "a1 long, a2 long, b1 long, b2 long, links long"))
-    ends = lambda s: F.struct(F.col(f"{s}1").alias("k1"), F.col(f"{s}2").alias("k2"))
-    groups = scratch.put(components(found.where("links = 0").select(ends("a").alias("a"), ends("b").alias("b")), scratch))
-    links = found.where("links > 0").groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2")).agg(F.sum("links").alias("links"))
-
-    labelled = classes.join(groups.select("node.k1", "node.k2", "component"), ["k1", "k2"], "left").withColumn("component", F.coalesce("component", F.struct("k1", "k2")))
-    least_id = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    per_class = labelled.join(least_id, "component").join(links, ["k1", "k2"], "left")
-    per_class = per_class.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "component_id")
+    cells = scratch.put(cells.select("k1", "k2", "t", "bucket", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")))
+    named = hashed.join(classes.select("k1", "k2", "node"), ["k1", "k2"])
+    blocks = cells.join(named, ["k1", "k2"]).groupBy("t", "bucket", "i", "j")
+    kind = classes.schema["node"].dataType.simpleString()
+    found = scratch.put(blocks.applyInArrow(_block(least), f"a {kind}, b {kind}, links long"))
+    groups = scratch.put(components(found.where("links = 0").select("a", "b"), scratch))
+    links = found.where("links > 0").groupBy(F.col("a").alias("of")).agg(F.sum("links").alias("links"))
+
+    per_class = classes.select("node", "n").join(groups.select(F.col("node").alias("in"), "component"), F.col("node") == F.col("in"), "left")
+    per_class = per_class.join(links, F.col("node") == F.col("of"), "left")
+    # A class without links has its own least id; a null one, as all ids of the class are null, stays null.
+    component_id = F.coalesce(F.col("component.first"), F.col("node.first")).alias("component_id")
+    per_class = per_class.select(F.col("node.k1").alias("c1"), F.col("node.k2").alias("c2"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), component_id)
     per_class = scratch.put(per_class)
-    scratch.drop(classes, hashed, shared, found)
+    scratch.drop_all_but(per_class)
 
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
-    salt = F.xxhash64(F.col(id_col), F.lit(3))  # rows without a class are spread; they match nothing
-    docs = df.select(row, F.col(id_col).alias("id"), F.coalesce(keys[0], salt).alias("k1"), keys[1].alias("k2"))
-    out = docs.join(per_class, (F.col("k1") == F.col("c1")) & F.col("k2").eqNullSafe(F.col("c2")), "left")
-    component = F.when(F.col("c1").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    docs = df.select(row, F.col(id_col).alias("id"), keys[0].alias("k1"), keys[1].alias("k2"))
+    out = docs.where("k1 is not null").join(per_class, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    out = out.select("row", "id", "links", "component_id").unionByName(docs.where("k1 is null").select("row", "id", F.lit(0).alias("links"), F.col("id").alias("component_id")))
     return out.select(
         *[F.col("row").getField(c).alias(c) for c in kept],
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
+        "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
     )

@@ -38,6 +38,50 @@ def test_against_all_cosines(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def planted(rng, clusters, size, dims, noise):
+    """Clusters of vectors at cosines around the limit."""
+    centres = rng.standard_normal((clusters, dims))
+    return np.concatenate([c + rng.standard_normal((size, dims)) * noise * np.linalg.norm(c) / dims**0.5 for c in centres]).astype("f4")
+
+
+def exact(x, labels):
+    u = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1)[:, None]
+    near = (u @ u.T >= 0.98) & (labels[:, None] == labels[None, :])
+    return near & ~np.eye(len(x), dtype=bool)
+
+
+def test_recall(spark):
+    """Links found among dense planted vectors, most of them at cosines of 0.98 to 0.99: the share and the groups."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([planted(rng, 60, 12, 64, s) for s in (0.08, 0.11, 0.13, 0.14)])
+    labels = rng.integers(0, 3, len(x) // 12).repeat(12)
+    near = exact(x, labels)
+    got = np.array([r.n_links for r in embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, labels, strict=True))], "vec_id long, embedding array<float>, label int")).orderBy("vec_id").collect()])
+    print("links", got.sum(), "of", near.sum())
+    assert near.sum() > 10_000 and (got <= near.sum(axis=1)).all() and got.sum() >= 0.999 * near.sum()
+
+
+def test_one_cluster_of_many_blocks(spark, monkeypatch):
+    """A tight cluster that shares its buckets in many tables, and a loose one; blocks and slices of a few vectors."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "SLICE", 5)
+    monkeypatch.setattr(embedding_dedup, "PAIRS", 7)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([planted(rng, 1, 90, 32, 0.005), planted(rng, 1, 60, 32, 0.12)])
+    near = exact(x, np.zeros(len(x)))
+    got = [(r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).orderBy("vec_id").collect()]
+    assert [g[0] for g in got] == near.sum(axis=1).tolist() and all(g[1] == 0 for g in got[:90])
+
+
+def test_vectors_without_ids_or_values(spark):
+    """Many unusable rows without id are joined with nothing; a group without ids has a null component."""
+    rows = [(None, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (None, [0.0, 1.0], 1), (7, [0.0, 1.0], 1), (None, [0.0, 2.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    df = df.unionByName(spark.range(5000).selectExpr("cast(null as long) as vec_id", "cast(null as array<double>) as embedding", "1 as label"))
+    got = embedding_dedup.near_vectors(df).groupBy("n_links", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(1, None, True, 2), (2, 7, False, 2), (2, 7, True, 1), (0, None, True, 5000)}
+
+
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
     rng = np.random.default_rng(3)
