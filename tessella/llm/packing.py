@@ -136,27 +136,18 @@ def tokenise(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
-    """Fill sequences from the numbers of pieces of each length; best-two-fit, or plain best fit where that needs fewer.
+    """Best two fit, from the numbers of pieces of each length: rows (length, first rank, last rank + 1, first sequence, offset), and the number of sequences.
 
-    Returns rows (length, first rank, last rank + 1, first sequence, offset), and the number of sequences.
-    """
-    made = _plan(counts, capacity, True)
-    if made[1] > -(-sum(n * c for n, c in counts.items()) // capacity):
-        made = min(made, _plan(counts, capacity, False), key=lambda x: x[1])
-    return made
-
-
-def _plan(counts: dict[int, int], capacity: int, two: bool) -> tuple[np.ndarray, int]:
-    """A bin takes the longest piece left, then again and again the longest that fits; pieces of a sixth of the capacity
+    A bin takes the longest piece left, then again and again the longest that fits; pieces of a sixth of the capacity
     or less wait. If a gap remains, the smallest piece gives way to the two unpacked pieces that together fill the
-    expanded gap best, as long as that is tighter. The short pieces then fill what is left in the same way.
+    expanded gap best, if that is tighter. The short pieces then fill what is left in the same way.
 
     Equal bins are made at once, as many as the counts allow, so the work depends on the number of distinct lengths
     (``capacity`` at most) and not on the number of documents.
     """
     left = {n: c for n, c in counts.items() if c > 0}
     sizes, used, out, sequences = sorted(left), dict.fromkeys(left, 0), [], 0
-    short = capacity // 6 if two else 0
+    short = capacity // 6
 
     def take(n: int) -> None:
         left[n] -= 1
@@ -175,28 +166,30 @@ def _plan(counts: dict[int, int], capacity: int, two: bool) -> tuple[np.ndarray,
             take(n)
             gap -= n
 
+    def swap(items: list[int], room: int) -> list[int]:
+        """``items`` with two unpacked pieces in place of the smallest, those that fill ``room`` best, if that is tighter."""
+        smallest = items[-1]
+        a = np.array(sizes[bisect_right(sizes, short) : bisect_right(sizes, room)], "i8")
+        if not len(a):
+            return items
+        at = np.searchsorted(a, room - a, "right") - 1  # the longest partner of each
+        alone = np.array([left[n] < 2 for n in a.tolist()])
+        at = np.where((at == np.arange(len(a))) & alone, at - 1, at)
+        both = np.where(at >= 0, a + a[np.maximum(at, 0)], 0)
+        best = int(both.argmax())
+        if both[best] <= smallest:
+            return items
+        pair = int(a[best]), int(a[at[best]])
+        for n in pair:
+            take(n)
+        give(smallest)
+        return sorted([*items[:-1], *pair], reverse=True)
+
     while sizes:
         items: list[int] = []
         fill(items, short)
-        while two and items and (gap := capacity - sum(items)):
-            smallest = items[-1]
-            room = gap + smallest
-            a = np.array(sizes[bisect_right(sizes, short) : bisect_right(sizes, room)], "i8")
-            if not len(a):
-                break
-            at = np.searchsorted(a, room - a, "right") - 1  # the longest partner of each
-            alone = np.array([left[n] < 2 for n in a.tolist()])
-            at = np.where((at == np.arange(len(a))) & alone, at - 1, at)
-            both = np.where(at >= 0, a + a[np.maximum(at, 0)], 0)
-            best = int(both.argmax())
-            if both[best] <= smallest:
-                break
-            pair = int(a[best]), int(a[at[best]])
-            items.pop()
-            for n in pair:
-                take(n)
-            give(smallest)
-            items = sorted([*items, *pair], reverse=True)
+        if items and (gap := capacity - sum(items)):
+            items = swap(items, gap + items[-1])
         fill(items, 0)
         need = {n: items.count(n) for n in items}
         times = 1 + min(left[n] // k for n, k in need.items())
@@ -225,7 +218,8 @@ def pack(
     """Tokenise all documents and place every piece in a sequence of at most ``capacity`` ids.
 
     Only the counts of each length (``capacity`` numbers at most) reach the driver. Pieces of one length are
-    interchangeable: each gets its rank among them, over salted groups, and the plan turns ranks into places.
+    interchangeable: each gets its rank among them, over groups of numbers drawn when the pieces are written, so that
+    equal rows are spread as well, and the plan turns ranks into places.
 
     Returns one row for each piece: ``id_col``, ``piece`` int, ``start``, ``length``, ``ids_crc32`` long,
     ``sequence_id``, ``offset`` long and, with ``keep_ids``, ``ids``. A null or empty text is the end id alone; rows with
@@ -233,16 +227,18 @@ def pack(
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "pack")
-    pieces = scratch.put(tokenise(df, tokenizer_path, capacity, end_id, id_col, text_col, keep_ids))
+    # Drawn once, with the table: whoever reads it sees the same numbers.
+    deal = F.xxhash64(F.lit(5), F.monotonically_increasing_id()).alias("deal")
+    pieces = scratch.put(tokenise(df, tokenizer_path, capacity, end_id, id_col, text_col, keep_ids).select("*", deal))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     salts = max(16, -(-sum(counts.values()) // 100_000))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.lit(5)), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod("deal", F.lit(salts)))
     groups = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32", "start")
+    inside = Window.partitionBy("length", "salt").orderBy("deal")
     ranked = salted.withColumn("rank", F.row_number().over(inside) - 1).join(groups, ["length", "salt"])
-    ranked = ranked.withColumn("rank", (F.col("rank") + F.col("base")).cast("long")).drop("salt", "base")
+    ranked = ranked.withColumn("rank", (F.col("rank") + F.col("base")).cast("long")).drop("salt", "base", "deal")
 
     places, _ = plan(counts, capacity)
     shared = spark.sparkContext.broadcast(places)  # a few rows for each distinct length, whatever the corpus

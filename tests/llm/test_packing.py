@@ -87,6 +87,55 @@ def test_plan_is_whole_and_tight(seed):
     assert -(-sum(k * c for k, c in counts.items()) // 512) <= n <= len(bins) + 1
 
 
+def plainly(counts, capacity):
+    """Best two fit with lists of pieces, one bin and one piece at a time."""
+    left = sorted(n for n, c in counts.items() for _ in range(c))
+    short, bins = capacity // 6, []
+
+    def fill(items, least):
+        while ok := [n for n in left if least < n <= capacity - sum(items)]:
+            items.append(ok[-1])
+            left.remove(ok[-1])
+
+    while left:
+        items = []
+        fill(items, short)
+        if items and sum(items) < capacity:
+            room = capacity - sum(items) + items[-1]
+            pairs = [(a + b, min(a, b)) for i, a in enumerate(left) for b in left[:i] if min(a, b) > short and a + b <= room]
+            if pairs and max(pairs)[0] > items[-1]:
+                total = max(pairs)[0]
+                small = min(b for t, b in pairs if t == total)
+                given = items.pop()
+                left.remove(small)
+                left.remove(total - small)
+                left = sorted([*left, given])
+                items = sorted([*items, small, total - small], reverse=True)
+        fill(items, 0)
+        bins.append(sorted(items))
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_against_a_plain_version(seed):
+    rng = random.Random(100 + seed)
+    counts = {rng.randint(1, 64 if seed % 2 else 20): rng.randint(1, 9) for _ in range(rng.randint(1, 25))}
+    places, n = packing.plan(counts, 64)
+    filled = [[] for _ in range(n)]
+    for length, a, b, first, _ in places.tolist():
+        for k in range(b - a):
+            filled[first + k].append(length)
+    assert sorted(map(sorted, filled)) == sorted(plainly(counts, 64))
+
+
+def test_equal_rows_are_spread(spark):
+    """30,000 equal rows without id: each has its place."""
+    df = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    got = packing.pack(df, tokenizer_path(), capacity=64)
+    n = got.first().length
+    assert got.agg(F.count("*"), F.countDistinct("sequence_id", "offset"), F.countDistinct("sequence_id")).first()[:] == (30_000, 30_000, -(-30_000 // (64 // n)))
+
+
 def test_two_replace_one():
-    places, n = packing._plan({8: 1, 5: 1, 3: 2}, 14, True)  # 8 + 5 leaves 1; 3 + 3 fills the gap of 6
+    places, n = packing.plan({8: 1, 5: 1, 3: 2}, 14)  # 8 + 5 leaves 1; 3 + 3 fills the gap of 6
     assert {(x[0], x[3]) for x in places.tolist()} == {(8, 0), (3, 0), (5, 1)}
