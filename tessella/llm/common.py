@@ -98,20 +98,20 @@ def row_hash(df: DataFrame, seed: int) -> Column:
 STRETCH = 4096
 
 
-def fold_copies(df: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
+def fold_copies(df: DataFrame, counts: DataFrame, limit: int) -> tuple[DataFrame, bool]:
     """Rows of ``df`` (with ``h1``, ``h2``, 128 bits of the rest) plus ``copies`` long; what occurs more than ``limit`` times is one row.
 
     ``counts`` (h1, h2, n) says how often each row occurs. Copies are added up before the shuffle, so a row that is a third
-    of the table is one row for each task and then one. There are at most 1 / ``limit`` of the rows to fold.
+    of the table is one row for each task and then one. There are at most 1 / ``limit`` of the rows to fold. Also says whether there are any.
     """
     hot = counts.where(F.col("n") > limit).select(F.col("h1").alias("x1"), F.col("h2").alias("x2"))
     one = df.withColumn("copies", F.lit(1).cast("long"))
     if hot.isEmpty():
-        return one
+        return one, False
     met = (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))
     rest = [c for c in df.columns if c not in ("h1", "h2")]
     many = df.join(hot, met, "left_semi").groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias("copies"))
-    return one.join(hot, met, "left_anti").unionByName(many)
+    return one.join(hot, met, "left_anti").unionByName(many), True
 
 
 def unfold_copies(df: DataFrame) -> DataFrame:

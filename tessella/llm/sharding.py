@@ -55,7 +55,7 @@ def external_shuffle(
     limit = max(16, (rows or 0) // n_buckets)
 
     scattered = F.pmod(F.when(F.col("many"), F.xxhash64("h1", "h2", "copy")).otherwise(F.col("h1")), F.lit(n_buckets)).cast("int").alias("bucket")
-    dealt = unfold_copies(fold_copies(keyed, seen, limit).withColumn("many", F.col("copies") > 1)).select("h1", "h2", "copy", scattered, "row")
+    dealt = unfold_copies(fold_copies(keyed, seen, limit)[0].withColumn("many", F.col("copies") > 1)).select("h1", "h2", "copy", scattered, "row")
     few = seen.where(F.col("n") <= limit).select(F.col("n"), F.lit(False).alias("many"), F.lit(0).cast("long").alias("copy"), "h1", "h2")
     many = unfold_copies(seen.where(F.col("n") > limit).withColumnRenamed("n", "copies")).select(F.lit(1).cast("long").alias("n"), F.lit(True).alias("many"), "copy", "h1", "h2")
     counts = few.unionByName(many).select(scattered, "n").groupBy("bucket").agg(F.sum("n").alias("n"))

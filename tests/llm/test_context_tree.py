@@ -81,11 +81,44 @@ def test_against_definition(spark, depth):
     assert sorted(((r.text, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 2)) for r in got), key=str) == sorted(expected, key=str)
 
 
+def test_packs_of_many_levels(spark, monkeypatch):
+    """The same scores when packs are merged and priced over several levels, with equal rows folded or not."""
+    rng = random.Random(2)
+    words = "the of and étre a, b. zz".split(" ")
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["folded and folded again"] * 40
+    df = spark.createDataFrame([(i if i < 60 else None, t, i % 7 != 2 or i >= 60) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    shown = lambda **o: sorted((str(r.doc_id), r.text, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 3)) for r in context_tree.score_documents(df, F.col("train"), depth=3, **o).collect())
+    want = shown(block_bytes=1 << 20)
+    monkeypatch.setattr(context_tree, "FAN", 2)
+    assert shown(block_bytes=400) == want
+    monkeypatch.setattr(context_tree, "COPIES", 10)
+    assert shown(block_bytes=400) == want and len(want) == 100
+
+
+def test_equal_rows_are_one(spark):
+    """100,000 equal rows without id: counted by their number, scored once, returned each."""
+    same = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("ab ab").alias("text"))
+    got = context_tree.score_documents(same.unionByName(spark.createDataFrame([(1, "ab")], "doc_id long, text string")), F.lit(True), block_bytes=1 << 16)
+    rows = got.groupBy("doc_id", "n_tokens", "n_known", "train_tokens", "score").count().collect()
+    assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r["count"]) for r in rows} == {(None, 3, 3, 300_002, 100_000), (1, 2, 2, 300_002, 1)}
+    # After "ab" at the start, 100,000 times a space and once the end.
+    assert all(abs(r.score - (0 if r.doc_id is None else -5)) < 0.2 for r in rows)
+
+
 def test_probabilities_sum_to_one(spark):
-    """All texts of one byte and their ends, by byte: the model is a distribution."""
-    df = spark.createDataFrame([(i, t, True) for i, t in enumerate(["ab", "b", "", "aab"])] + [(100 + c, chr(c), False) for c in range(128)], "doc_id long, text string, train boolean")
-    got = context_tree.score_documents(df, F.col("train"), depth=2).where("not train").agg(F.sum(F.exp(F.col("score") * math.log(10)))).first()[0]
-    assert 0 < got < 1
+    """Over all 256 symbols behind a context, seen or not, at every depth."""
+    depth, rng = 3, random.Random(6)
+    texts = ["".join(rng.choice("abc d") for _ in range(30)).encode() for _ in range(8)]
+    keys, _ = context_tree.contexts(texts, depth)
+    count: dict[int, int] = {}
+    for k in keys.tolist():
+        count[k] = count.get(k, 0) + 1
+    asked = sorted({k >> 8 for k in count})[::7] + [int.from_bytes(c, "big") for c in (b"abz", b"zzb", b"xyz")]
+    rows = {c << 8 | s: 0 for c in asked for s in range(256)} | count
+    df = spark.createDataFrame(list(rows.items()), "gram long, n long")
+    got = {r.gram: r.lp for r in context_tree.weigh(df, depth, context_tree.Scratch(spark, "test")).collect()}
+    sums = [sum(10 ** got[c << 8 | s] for s in range(256)) for c in asked]
+    assert len(sums) > 10 and all(abs(x - 1) < 1e-5 for x in sums), sums
 
 
 def test_empty_and_untrained(spark):
