@@ -15,6 +15,8 @@ from .wordhash import BASES, WordHashes, column, distinct, mix, rolling, signed,
 
 #: Shingles and sets of one side of a block of comparisons, and shingles compared in one matrix product.
 BLOCK, ROWS, SLICE = 200_000, 1024, 8192
+#: Open buckets of more sets that may be similar to others are compared by their rare shingles.
+WIDE = 8 * ROWS
 
 
 def jumps(bins: int, tries: int, seed: int = 1) -> np.ndarray:
@@ -196,9 +198,10 @@ def near_duplicates(
     Equal sets form a class, known by a 128-bit key; its least id stands for it. One-permutation signatures of
     ``bands`` x ``rows`` bins put representatives into buckets (a pair at 0.8 is missed by all 25 bands of 5 with
     probability 5e-5, at 0.85 with 4e-7); sets too small to be similar to any other set stay out. In a bucket candidates form
-    a star around its least id; every candidate is confirmed on full sets. Where that leaves buckets in several
-    components, their members that share a rare shingle across components (``_rare``) are compared on full sets, those outside the
-    largest component of a shingle with all that have it, in blocks bounded in sets and shingles, so the stars lose no component.
+    a star around its least id; every candidate is confirmed on full sets. Where that leaves a bucket in several
+    components, those of its members that share a rare shingle with another component (``_rare``) are compared on full sets, those
+    outside the largest component with all, in blocks bounded in sets and shingles, so the stars lose no component. A bucket with more
+    than ``WIDE`` such members is compared by rare shingles, in place of as a whole.
 
     Returns the columns of ``df`` but those named ``n_shingles`` long, ``component_id`` and ``kept``, which are added.
     A document without words has an empty set and is linked with nothing; one with fewer words than a shingle is one
@@ -242,19 +245,26 @@ def near_duplicates(
     labelled = buckets.where("rep <> hub").join(groups, F.col("rep") == F.col("node"), "left")
     labelled = scratch.put(labelled.select("band", "rep", "n", F.coalesce("component", "rep").alias("comp")))
     open_bands = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    rare = scratch.put(_rare(labelled.join(open_bands, "band").select("rep", "n", "comp").distinct(), sets, percent))
-    parts = rare.groupBy("token", "comp").agg(F.sum("n").alias("of"), F.count(F.lit(1)).alias("c")).groupBy("token")
+    inside = scratch.put(labelled.join(open_bands, "band"))
+    rare = scratch.put(_rare(inside.select("rep", "n", "comp").distinct(), sets, percent))
+    near = scratch.put(inside.join(rare.select("rep").distinct(), "rep", "left_semi"))
+    wide = scratch.put(near.groupBy("band").agg((F.count(F.lit(1)) > WIDE).alias("wide"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "wide"))
+    whole = near.join(wide.where("not wide"), "band").select(F.lit(0).alias("by"), F.col("band").alias("key"), "rep", "n", "comp")
+    split = near.join(wide.where("wide"), "band").select("rep").distinct()
+    split = rare.join(split, "rep").select(F.lit(1).alias("by"), F.col("token").alias("key"), "rep", "n", "comp")
+    placed = scratch.put(whole.unionByName(split))
+    parts = placed.groupBy("by", "key", "comp").agg(F.sum("n").alias("of"), F.count(F.lit(1)).alias("c")).groupBy("by", "key")
     parts = parts.agg(F.max(F.struct("of", "c", "comp")).alias("most"), F.sum("of").alias("all"), F.sum("c").alias("rows"), F.count(F.lit(1)).alias("k")).where("k > 1")
     chunks = lambda size, rows: F.ceil(F.greatest(size / BLOCK, rows / ROWS)).cast("int")
     outs, alls = chunks(F.col("all") - F.col("most.of"), F.col("rows") - F.col("most.c")), chunks(F.col("all"), F.col("rows"))
-    parts = scratch.put(parts.select("token", F.col("most.comp").alias("main"), outs.alias("outs"), alls.alias("alls")))
-    rest = rare.join(parts, "token").withColumn("h", F.xxhash64("rep", F.lit(9)))
+    parts = scratch.put(parts.select("by", "key", F.col("most.comp").alias("main"), outs.alias("outs"), alls.alias("alls")))
+    rest = placed.join(parts, ["by", "key"]).withColumn("h", F.xxhash64("rep", F.lit(9)))
     outer = rest.where("comp <> main").withColumn("oc", F.pmod("h", "outs")).withColumn("mc", F.explode(F.sequence(F.lit(0), F.col("alls") - 1)))
     inner = rest.withColumn("mc", F.pmod("h", "alls")).withColumn("oc", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)))
-    cells = [x.select("token", F.col("oc").cast("long").alias("oc"), F.col("mc").cast("long").alias("mc"), "rep", "comp", F.lit(side).alias("side")) for x, side in ((outer, True), (inner, False))]
+    cells = [x.select("by", "key", F.col("oc").cast("long").alias("oc"), F.col("mc").cast("long").alias("mc"), "rep", "comp", F.lit(side).alias("side")) for x, side in ((outer, True), (inner, False))]
     cells = scratch.put(cells[0].unionByName(cells[1]))
-    placed = cells.join(sets, cells["rep"] == sets["id"]).select("token", "oc", "mc", "comp", "side", "s")
-    more = scratch.put(placed.groupBy("token", "oc", "mc").applyInArrow(_compare(percent), f"a {kind}, b {kind}"))
+    filled = cells.join(sets, cells["rep"] == sets["id"]).select("by", "key", "oc", "mc", "comp", "side", "s")
+    more = scratch.put(filled.groupBy("by", "key", "oc", "mc").applyInArrow(_compare(percent), f"a {kind}, b {kind}"))
     # Components are known by their least member, and so are components of components.
     joined = scratch.put(components(more, scratch)).select(F.col("node").alias("part"), F.col("component").alias("whole"))
     by_id = member.join(groups, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("part"))

@@ -69,7 +69,8 @@ def test_blocks_of_any_bounds(spark, monkeypatch):
             base = [w if rng.random() > 0.02 else rng.choice(vocab) for w in base]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = [(i, c) for i, _, c, _ in brute(rows, 3, 85)]
-    for block, most in ((200_000, 1024), (90, 1024), (200_000, 3)):
+    for block, most, wide in ((200_000, 1024, 8192), (90, 1024, 8192), (200_000, 3, 8192), (200_000, 1024, 5)):
+        monkeypatch.setattr(minhash_dedup, "WIDE", wide)
         monkeypatch.setattr(minhash_dedup, "BLOCK", block)
         monkeypatch.setattr(minhash_dedup, "ROWS", most)
         assert sorted((r.doc_id, r.component_id) for r in minhash_dedup.near_duplicates(df, width=3, percent=85).collect()) == sorted(want)
