@@ -15,7 +15,7 @@ from tessella.llm.queries import tokenizer_path
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws for the labelled good ones; what it rejects goes."""
+    """Documents that importance resampling draws for the labelled good ones, as many as hold 99.5 % of these; what it rejects goes."""
     labels = read(spark, sf_dir, "labels")
     drawn = quality.resample(docs, quality.good_ids(labels), bad_ids=quality.bad_ids(labels))
     return drawn.where("kept").select(*docs.columns)
@@ -60,4 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = scratch.put(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        scratch.drop_all_but(docs)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    scratch.drop_all_but()  # packing reads the pieces that it has written, not the documents
+    return out
