@@ -261,26 +261,28 @@ def _score(depth: int, total: int, distinct: int, ends: int, keep_text: bool):
         lp = np.zeros(len(gram))
         lp[by_part(gram, FAN)[1]] = given(0)
         score = np.add.reduceat(lp[pd.Index(gram).get_indexer(keys)], starts) if len(texts) else np.zeros(0)
-        tokens = list(set().union(*[t.split() for t in texts]))
+        cut = [t.split() for t in texts]
+        flat = list(chain.from_iterable(cut))
+        code = dict.fromkeys(flat)
+        tokens = list(code)
+        code.update(zip(tokens, range(len(tokens)), strict=True))
         hashes = word_keys(tokens)
         known = distinct_values(hashes)
         counts = np.zeros(len(known), np.int64)
         counts[by_part(known, FAN)[1]] = given(1).astype(np.int64)
-        count = dict(zip(tokens, counts[np.searchsorted(known, hashes)].tolist(), strict=True))
+        count = counts[np.searchsorted(known, hashes)]
         scale = total + distinct + 1
-        price = {w: math.log10((c + 1) / scale) for w, c in count.items()}
-        n_tokens, n_known, base = [], [], []
-        for text in texts:
-            words = text.split()
-            n_tokens.append(len(words) + 1)
-            n_known.append(sum(count[w] > 0 for w in words) + (ends > 0))
-            base.append(math.fsum([price[w] for w in words]) + math.log10((ends + 1) / scale))
+        price = np.log10((count + 1) / scale)
+        n_words = np.fromiter(map(len, cut), np.int64, len(cut))
+        codes, row = np.fromiter(map(code.__getitem__, flat), np.int64, len(flat)), np.repeat(np.arange(len(cut)), n_words)
+        n_known = np.bincount(row, count[codes] > 0, len(cut)).astype(np.int64) + (ends > 0)
+        base = np.bincount(row, price[codes], len(cut)) + math.log10((ends + 1) / scale)
         size = np.fromiter(map(len, texts), np.float64, len(texts)) + 1
         return pa.table(
             ({"text": docs.column("text")} if keep_text else {})
             | {
                 **{c: docs.column(c) for c in ("h1", "copies", "row")},
-                "n_tokens": pa.array(n_tokens, pa.int64()),
+                "n_tokens": pa.array(n_words + 1, pa.int64()),
                 "n_known": pa.array(n_known, pa.int64()),
                 "train_tokens": pa.array([total] * len(texts), pa.int64()),
                 "base_score": pa.array(base, pa.float64()),
