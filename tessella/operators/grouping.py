@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import element_id, property_of, time_text
 from ..graph import PropertyGraph
 from ..plans.spec import GroupingSpec
+from ..storage import written
 
 
 class GraphGrouping:
@@ -45,7 +46,7 @@ class GraphGrouping:
         spec, properties, kind = self.spec, F.col(f"{what}_properties"), df.schema[f"{what}_properties"].dataType
         value = lambda key: property_of(properties, kind, key, spec.property_types.get(key))
         label = F.col(f"{what}_label") if spec.by_label(what) else F.lit("")
-        keys = [value(k).alias(f"__k{i}") for i, k in enumerate(spec.properties(what))]
+        keys = [k.alias(f"__k{i}") for i, k in enumerate(spec.values(what, F.col(f"{what}_label"), value))]
         aggregates = getattr(spec, f"{what}_aggregates")
         inputs = [value(a.property_key).alias(f"__a{i}") for i, a in enumerate(aggregates) if a.property_key is not None]
         return df.select(*keep, label.alias("__label"), *keys, *inputs)
@@ -91,8 +92,8 @@ class GraphGrouping:
         out = prepared.select("vertex_id", "__t", "__super")
         if self.spec.mapping == "bag":
             return out
-        # Versions of a vertex that fall into one super vertex map once.
-        return out if out.isStreaming else out.distinct()
+        # Versions of a vertex that fall into one super vertex map once; dealt as the joins with edges want them.
+        return out if out.isStreaming else out.repartition("vertex_id", "__t").distinct()
 
     def stream_mapping(self, graph: PropertyGraph) -> DataFrame:
         """The mapping of a stream: vertices are deduplicated by what decides their super vertex, in one stateful step.
@@ -146,13 +147,16 @@ class GraphGrouping:
         edges = self._windowed(triples.select(*columns), graph, ["edge_id", "edge_label", "edge_properties", "source", "target"], distinct=not self.spec.unique_edges)
         for end in ("source", "target"):
             vertex, kind = F.col(end), edges.schema[end].dataType
-            keys = [property_of(vertex["vertex_properties"], kind["vertex_properties"].dataType, k, self.spec.property_types.get(k)) for k in self.spec.properties("vertex")]
+            value = lambda k, of=vertex["vertex_properties"], kind=kind["vertex_properties"].dataType: property_of(of, kind, k, self.spec.property_types.get(k))
+            keys = self.spec.values("vertex", vertex["vertex_label"], value)
             label = [vertex["vertex_label"] if self.spec.by_label("vertex") else F.lit("")] if self.spec.by_label("vertex") or not keys else []
             edges = edges.withColumn(f"{end}_id", element_id([*label, *keys, time_text(F.col("__t"))], self.spec.id_scheme))
         return edges.drop("source", "target")
 
     def execute(self, graph: PropertyGraph) -> PropertyGraph:
         vertices = self.prepare_vertices(self.dedup_vertices(graph))
+        if self.spec.write_vertices and not graph.streaming:
+            vertices = written(vertices)
         if self.spec.consistent_vertices:
             edges = self._inline(graph)
         else:

@@ -1,5 +1,5 @@
 """Declarations of what to compute."""
 
-from .spec import LABEL, GroupingBuilder, GroupingSpec
+from .spec import LABEL, GroupingBuilder, GroupingKey, GroupingSpec
 
-__all__ = ["LABEL", "GroupingBuilder", "GroupingSpec"]
+__all__ = ["LABEL", "GroupingBuilder", "GroupingKey", "GroupingSpec"]

@@ -6,8 +6,6 @@ Three views make graphs of the tables: activity (user -event-> kind of event), p
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,8 +16,9 @@ from .config import WindowSpec
 from .functions import AvgProperty, Count, CustomAggregate, MaxProperty, MinProperty, SumProperty
 from .graph import PropertyGraph
 from .operators.grouping import GraphGrouping
-from .plans.spec import LABEL, GroupingSpec
-from .sources import random_triples, triples_from_rows, trips_to_triples, tweets_to_triples
+from .plans.spec import LABEL, GroupingBuilder, GroupingKey, GroupingSpec
+from .sources import random_triples, read_trips, read_tweets, triples_from_rows, trips_to_triples, tweets_to_triples
+from .storage import remove, shared_folder
 from .streaming import drain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,7 +217,7 @@ VERTEX_CASES: dict[str, Case] = {
     "missing_property_group": Case(ACTIVITY, _spec("parity", va=(Count(),), value=7)),
 }
 TRIPLE_CASES: dict[str, Case] = {
-    "super_triples": Case(ACTIVITY, _spec(LABEL, LABEL, (Count(),), (Count(), SumProperty("value"), MaxProperty("value")))),
+    "super_triples": Case(ACTIVITY, _spec(LABEL, LABEL, (Count(),), (Count(), SumProperty("value"), MaxProperty("value")), write_vertices=True)),
     "group_edges_label": Case(SUPPLY, _spec(LABEL, LABEL, ea=(Count(), SumProperty("quantity")), value=90)),
     "group_edges_property": Case(PURCHASES, _spec("segment", "priority", ea=(Count(),), value=90)),
     "group_edges_label_property": Case(PURCHASES, _spec(f"{LABEL} segment status", f"{LABEL} priority", (Count(),), _TOTALS, value=180)),
@@ -229,7 +228,7 @@ TRIPLE_CASES: dict[str, Case] = {
     "window_minutes": Case(ACTIVITY, _spec(LABEL, "", (Count(),), (Count(),), 30, "minutes")),
     "window_hours": Case(ACTIVITY, _spec(LABEL, "", (Count(),), (Count(),), 7, "hours")),
     "window_days": Case(ACTIVITY, _spec(LABEL, "", (Count(),), (Count(),), 15, "days")),
-    "unique_edges": Case(SUPPLY, _spec("brand", LABEL, (Count(),), (Count(), MinProperty("discount")), value=180, unique_edges=True)),
+    "unique_edges": Case(SUPPLY, _spec("brand", LABEL, (Count(),), (Count(), MinProperty("discount")), value=180, unique_edges=True, write_vertices=True)),
     "join_free_grouping": Case(ACTIVITY, _spec(LABEL, LABEL, (Count(),), (Count(), SumProperty("value")), consistent_vertices=True)),
 }
 
@@ -343,8 +342,15 @@ def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _trips_to_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trips_to_triples(_trips(spark, sf_dir))
+def _trip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, written as CSV files with a header and read by the source."""
+    folder = shared_folder(spark)
+    _trips(spark, sf_dir).write.option("header", True).csv(f"{folder}/trips")
+    return read_trips(spark, f"{folder}/trips")
+
+
+def _trips_to_triples(spark: SparkSession, sf_dir: str, rows: Query = _trips) -> DataFrame:
+    t = trips_to_triples(rows(spark, sf_dir))
     return t.select(
         "id", _ms(), F.col("properties.tripduration").alias("tripduration"), F.col("properties.birth year").cast("double").alias("birth_year"), F.col("properties.gender").alias("gender"),
         F.col("source.vertex_id").alias("source_id"), F.col("target.vertex_id").alias("target_id"), F.col("target.vertex_properties.lat").alias("target_lat"), F.col("target.vertex_properties.long").alias("target_long"),
@@ -353,7 +359,7 @@ def _trips_to_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trips_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = PropertyGraph.from_triples(trips_to_triples(_trips(spark, sf_dir)))
-    t = graph.group_by([LABEL], [Count()], ["gender", LABEL], [Count(), AvgProperty("tripduration")], WindowSpec(15, "days")).triples()
+    t = graph.group_by([LABEL], [Count()], ["gender", LABEL], [Count(), AvgProperty("tripduration")], WindowSpec(15, "days"), write_vertices=True).triples()
     return t.select(
         _ms(), F.col("properties.gender").alias("gender"), F.col("properties.count").alias("trips"), F.round("properties.avg_tripduration", 2).alias("avg_tripduration"), F.col("source.vertex_properties.count").alias("stations")
     )
@@ -378,8 +384,15 @@ def _tweet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.when(F.pmod("event_id", F.lit(17)) == 0, "").otherwise(F.to_json(whole)).alias("value"))
 
 
-def _tweets_to_triples(spark: SparkSession, sf_dir: str, box=None) -> DataFrame:
-    t = tweets_to_triples(_tweet_lines(spark, sf_dir), box)
+def _tweet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines, written as text files and read by the source."""
+    folder = shared_folder(spark)
+    _tweet_lines(spark, sf_dir).write.text(f"{folder}/tweets")
+    return read_tweets(spark, f"{folder}/tweets")
+
+
+def _tweets_to_triples(spark: SparkSession, sf_dir: str, box=None, lines: Query = _tweet_lines) -> DataFrame:
+    t = tweets_to_triples(lines(spark, sf_dir), box)
     return t.select(
         "id", _ms(), F.col("label").alias("edge_label"), F.unix_millis("properties.createdAt").alias("created_ms"), F.col("source.vertex_id").alias("tweet_id"),
         F.col("source.vertex_properties.country").alias("country"), F.col("target.vertex_id").alias("user_id"), F.col("target.vertex_properties.followers_count").alias("followers"),
@@ -399,13 +412,27 @@ _TWEETS_SQL = """SELECT md5(event_id || '-' || user_id) AS id, epoch_ns(ts) // 1
   FROM events WHERE event_id % 10 <> 3 AND event_id % 17 <> 0"""
 
 
+_RANDOM = Case(ACTIVITY, _spec(LABEL, LABEL, (Count(),), (Count(),), 10, "seconds"))
+
+
 def _random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """100,000 random triples, grouped by label on both sides."""
-    graph = PropertyGraph.from_triples(random_triples(spark, 100_000))
-    t = graph.group_by([LABEL], [Count()], [LABEL], [Count()], WindowSpec(10, "seconds")).triples()
+    """As many random triples as there are events, grouped by label on both sides."""
+    graph = PropertyGraph.from_triples(random_triples(spark, _read(spark, sf_dir, "events").count()))
+    t = graph.apply(GraphGrouping(_RANDOM.spec)).triples()
     return t.select(_ms(), F.col("source.vertex_label").alias("source_label"), F.col("label").alias("edge_label"), F.col("target.vertex_label").alias("target_label"), F.col("properties.count").alias("n"))
 
 
+def _random_sql() -> str:
+    """The generator's rule in SQL, then the grouping's."""
+    hexed = lambda text: " + ".join(f"(instr('0123456789abcdef', substr({text}, {i}, 1)) - 1) * {16 ** (7 - i)}" for i in range(1, 8))
+    draw = lambda what, size: f"(({hexed(f'md5(concat_ws(chr(45), 42, {what!r}, n))')}) % {size})"
+    label = lambda what, kind: "concat(" + ", ".join(f"chr(CAST(97 + (({hexed(f'md5(concat_ws(chr(45), 42, {kind!r} || {what}))')}) // {26**at}) % 26 AS INT))" for at in range(3)) + ")"
+    drawn = ", ".join(f"{draw(w, size)} AS {name}" for w, size, name in (("source-id", 10_000, "si"), ("target-id", 10_000, "ti"), ("source-label", 10, "sl"), ("target-label", 10, "tl"), ("edge-label", 10, "el")))
+    view = f"""SELECT md5('e42-' || n) AS eid, {label('el', 'e')} AS elabel, NULL AS e_value, NULL AS e_k, md5('v42-' || si) AS sid, {label('sl', 'v')} AS slabel, md5('v42-' || si) AS s_parity,
+        md5('v42-' || ti) AS tid, {label('tl', 'v')} AS tlabel, md5('v42-' || ti) AS t_parity, TIMESTAMP '2024-01-01' + to_milliseconds(n) AS ts FROM (SELECT n, {drawn} FROM (SELECT unnest(range((SELECT count(*) FROM events))) AS n))"""
+    return f"SELECT time_ms, source_label, edge_label, target_label, e_count AS n FROM ({_RANDOM.triples_sql(view)})"
+
+
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small graph given as rows."""
     t = lambda s: F.timestamp_millis(F.lit(1_600_000_000_000 + 1000 * s))
@@ -417,41 +444,98 @@ def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(_ms(), F.col("label").alias("edge_label"), F.col("properties.sum_weight").alias("weight"), F.col("source.vertex_properties.sum_size").cast("double").alias("source_size"), F.col("target.vertex_properties.sum_size").cast("double").alias("target_size"))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _DEDUP.graph(spark, sf_dir).edge_lines().withColumnRenamed("value", "line")
+def _lines(what: str) -> Query:
+    """Printable lines of vertices, edges or triples."""
+    return lambda spark, sf_dir: getattr(_DEDUP.graph(spark, sf_dir), f"{what}_lines")().withColumnRenamed("value", "line")
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the file sink has written of vertices and edges."""
+    folder = shared_folder(spark)
+    _DEDUP.graph(spark, sf_dir).write_as_csv(f"{folder}/graph")
+    parts = [spark.read.text(f"{folder}/graph_{x}").select(F.lit(x).alias("file"), F.col("value").alias("line")) for x in "VE"]
+    return parts[0].unionByName(parts[1])
+
+
+_BUILT = Case(PURCHASES, _spec(f"{LABEL} segment", f"{LABEL} priority", (Count(), MaxProperty("acctbal")), (Count(), AvgProperty("totalprice")), 90))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessella-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def _with_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grouping put together step by step."""
+    b = GroupingBuilder().add_vertex_grouping_key(LABEL).add_vertex_grouping_keys(["segment"]).add_edge_grouping_keys([LABEL]).add_edge_grouping_key("priority")
+    b = b.add_vertex_aggregate(Count()).add_vertex_aggregate(MaxProperty("acctbal")).add_edge_aggregate(Count()).add_edge_aggregate(AvgProperty("totalprice"))
+    return _BUILT.flat(_BUILT.graph(spark, sf_dir).apply(b.set_window_size(90, "days").build()))
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Activity as a stream; a first pass of one row far ahead of the rest would drop it, so the row that closes all windows comes last."""
-    folder = _shared_folder(spark)
+_BY_SIZE = GroupingKey("size", lambda label, value: F.floor(value("size") / 10).cast("int"))
+_BY_HALF = GroupingKey("half", lambda label, value: F.concat(label, F.when(value("quantity") > 25, "+").otherwise("-")))
+_DERIVED = Case(SUPPLY, GroupingSpec((LABEL, _BY_SIZE), (Count(), MaxProperty("acctbal")), (_BY_HALF,), (Count(), MaxProperty("discount")), WindowSpec(180, "days")))
+
+
+def _derived_sql() -> str:
+    """Keys as columns of the view, under names of their own in place of the properties that they are made of."""
+    view = SUPPLY.sql.replace("CAST(p_size AS INT) AS s_size", "CAST(floor(p_size / 10) AS INT) AS s_size").replace("l_discount AS e_discount", "l_discount AS e_discount, l_returnflag || CASE WHEN l_quantity > 25 THEN '+' ELSE '-' END AS e_half")
+    plain = GroupingSpec((LABEL, "size"), (Count(), MaxProperty("acctbal")), ("half",), (Count(), MaxProperty("discount")), WindowSpec(180, "days"))
+    return Case(View(SUPPLY.make, SUPPLY_V, SUPPLY_E | {"half": "string"}, view), plain).triples_sql()
+
+
+def _separate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph given as a table of vertices and one of edges."""
+    orders, customers = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer")
+    time = F.col("o_orderdate").cast("timestamp").alias("event_time")
+    customer, order = F.concat(F.lit("c"), F.col("o_custkey")), F.concat(F.lit("o"), F.col("o_orderkey"))
+    met = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    of_customer = _props(PURCHASES_V, segment=F.col("c_mktsegment"), nation=F.col("c_nationkey"), acctbal=F.col("c_acctbal"))
+    vertices = met.select(customer.alias("vertex_id"), F.lit("customer").alias("vertex_label"), of_customer.alias("vertex_properties"), time)
+    vertices = vertices.unionByName(met.select(order.alias("vertex_id"), F.lit("order").alias("vertex_label"), _props(PURCHASES_V, status=F.col("o_orderstatus")).alias("vertex_properties"), time))
+    of_edge = _props(PURCHASES_E, totalprice=F.col("o_totalprice"), priority=F.col("o_orderpriority"))
+    edges = orders.select(F.col("o_orderkey").cast("string").alias("edge_id"), F.lit("placed").alias("edge_label"), of_edge.alias("edge_properties"), customer.alias("source_id"), order.alias("target_id"), time)
+    return _BUILT.flat(PropertyGraph(vertices, edges).apply(GraphGrouping(_BUILT.spec)))
+
+
+def _activity_stream(spark: SparkSession, sf_dir: str, folder: str) -> PropertyGraph:
+    """Activity as a stream, behind its events a row that closes all windows."""
     events = _read(spark, sf_dir, "events")
-    end = F.expr("ts + INTERVAL 400 DAYS")
     events.write.parquet(f"{folder}/in/batch=1")
-    last = events.orderBy(F.desc("ts"), F.desc("event_id")).limit(1).withColumns({"ts": end, "event_id": F.lit(-1).cast("long"), "event_type": F.lit("end")})
+    last = events.orderBy(F.desc("ts"), F.desc("event_id")).limit(1).withColumns({"ts": F.expr("ts + INTERVAL 400 DAYS"), "event_id": F.lit(-1).cast("long"), "event_type": F.lit("end")})
     last.write.parquet(f"{folder}/in/batch=2")
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 100_000).option("recursiveFileLookup", True).parquet(f"{folder}/in")
-    graph = PropertyGraph.from_triples(activity_from(source))
-    return graph, folder
+    return PropertyGraph.from_triples(activity_from(source))
+
+
+def _drained(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
+    out = drain(df, f"{folder}/out", f"{folder}/state")
+    for part in ("in", "state"):
+        remove(spark, f"{folder}/{part}")
+    return out
 
 
 _STREAM = Case(ACTIVITY, _spec(LABEL, LABEL, (Count(),), (Count(), MaxProperty("value"))))
 
 
 def _streaming_super_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph, folder = _stream(spark, sf_dir)
-    out = drain(_STREAM.flat(graph.apply(GraphGrouping(_STREAM.spec))), f"{folder}/out", f"{folder}/state")
-    return out.where("edge_label <> 'end'")
+    folder = shared_folder(spark)
+    graph = _activity_stream(spark, sf_dir, folder)
+    return _drained(spark, _STREAM.flat(graph.apply(GraphGrouping(_STREAM.spec))), folder).where("edge_label <> 'end'")
 
 
 def _streaming_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph, folder = _stream(spark, sf_dir)
-    v = graph.apply(GraphGrouping(_spec("parity", va=(Count(),)))).vertices
-    return drain(v.select(_ms(), F.col("vertex_properties.parity").cast("double").alias("parity"), F.col("vertex_properties.count").alias("n")), f"{folder}/out", f"{folder}/state")
+    folder = shared_folder(spark)
+    v = _activity_stream(spark, sf_dir, folder).apply(GraphGrouping(_spec("parity", va=(Count(),)))).vertices
+    return _drained(spark, v.select(_ms(), F.col("vertex_properties.parity").cast("double").alias("parity"), F.col("vertex_properties.count").alias("n")), folder)
+
+
+_LATE = Case(ACTIVITY, _spec("parity", LABEL, (Count(),), (Count(), MinProperty("value")), 36, "hours"))
+
+
+def _streaming_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose windows have closed come again under other ids and change nothing; the state of a first run knows that they are late."""
+    folder = shared_folder(spark)
+    flat = _LATE.flat(_activity_stream(spark, sf_dir, folder).apply(GraphGrouping(_LATE.spec)))
+    drain(flat, f"{folder}/out", f"{folder}/state")
+    late = _read(spark, sf_dir, "events").where("event_id % 3 = 0").withColumns({"event_id": F.col("event_id") + 1_000_000_000, "value": F.lit(-1.0)})
+    late.write.parquet(f"{folder}/in/batch=3")
+    return _drained(spark, flat, folder).where("edge_label <> 'end'")
 
 
 QUERIES: dict[str, Query] = {
@@ -478,7 +562,16 @@ QUERIES: dict[str, Query] = {
     "source_tweets_in_box": lambda spark, sf_dir: _tweets_to_triples(spark, sf_dir, (5.779, 47.205, 15.161, 55.076)),
     "tweets_grouped": _tweets_grouped,
     "source_random_grouped": _random,
-    "edge_lines": _lines,
+    "source_trips_files": lambda spark, sf_dir: _trips_to_triples(spark, sf_dir, _trip_files),
+    "source_tweets_files": lambda spark, sf_dir: _tweets_to_triples(spark, sf_dir, lines=_tweet_files),
+    "vertex_lines": _lines("vertex"),
+    "edge_lines": _lines("edge"),
+    "triple_lines": _lines("triple"),
+    "written_lines": _written,
+    "grouping_builder": _with_builder,
+    "separate_tables": _separate_tables,
+    "derived_grouping_keys": _DERIVED.triples,
+    "streaming_late_rows": _streaming_late_rows,
     "streaming_super_triples": _streaming_super_triples,
     "streaming_group_vertices": _streaming_vertices,
 }
@@ -488,6 +581,11 @@ _ESC = "coalesce(replace(replace(CAST({} AS VARCHAR), '%', '%25'), '.', '%2E'),
 _STAMP = f"strftime({_W1} - INTERVAL '1 millisecond', '%Y-%m-%dT%H:%M:%S') || '.999'"
 _TIME = f"replace({_STAMP}, '.', '%2E')"
 _EV = "(SELECT CAST(user_id AS VARCHAR) AS vid, 'user' AS l, CAST(user_id % 2 AS DOUBLE) AS parity, ts FROM events UNION ALL SELECT event_type, 'etype', NULL, ts FROM events)"
+_LINE_TIME = "strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_ns(ts) // 1000000 % 1000 AS VARCHAR), 3, '0')"
+_USER = f"'(' || user_id || '(t:' || {_LINE_TIME} || '):user{{parity=' || user_id % 2 || '}})'"
+_KIND = f"'(' || event_type || '(t:' || {_LINE_TIME} || '):etype{{parity=NULL}})'"
+_MIDDLE = f"'-[t:' || {_LINE_TIME} || ' ' || event_id || ':' || event_type || '{{value=' || coalesce(CAST(value AS VARCHAR), 'NULL') || ',k=' || coalesce(CAST(CAST(json_extract(props, '$.k') AS INT) AS VARCHAR), 'NULL') || '}}]->'"
+_EDGE_LINES = f"SELECT '(' || user_id || ')' || {_MIDDLE} || '(' || event_type || ')' AS line FROM events"
 _SUPER = "sha1(l || '.' || " + _ESC.format("CAST(parity AS INT)") + " || '.' || " + _TIME + ")"
 _TWICE = "(SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 2 = 0)"
 _FIRST = Case(ACTIVITY, _spec(f"{LABEL} parity", LABEL, (Count("n"),), (Count("n"), SumProperty("value")), 6, "hours"))
@@ -533,6 +631,17 @@ ORACLE_SQL: dict[str, str] = {
         v AS (SELECT DISTINCT ms, 'tweet' AS l, tweet_id AS i, country, NULL AS f FROM t UNION ALL SELECT DISTINCT ms, 'user', user_id, NULL, followers FROM t)
         SELECT ms AS time_ms, l AS vertex_label, country, count(*) AS count, CAST(sum(f) AS DOUBLE) AS sum_followers_count, round(avg(f), 2) AS avg_followers_count, CAST(min(f) AS DOUBLE) AS min_followers_count, CAST(max(f) AS DOUBLE) AS max_followers_count
         FROM v GROUP BY ms, l, country""",
+    "source_random_grouped": _random_sql(),
+    "source_trips_files": f"SELECT id, epoch_ms(ts) AS time_ms, tripduration, birth_year, gender, source_id, target_id, target_lat, target_long FROM ({_TRIPS_SQL})",
+    "source_tweets_files": _TWEETS_SQL,
+    "vertex_lines": f"SELECT {_USER} AS line FROM events UNION ALL SELECT {_KIND} FROM events",
+    "edge_lines": _EDGE_LINES,
+    "triple_lines": f"SELECT {_USER} || {_MIDDLE} || {_KIND} AS line FROM (SELECT e.* FROM events e JOIN events a ON a.user_id = e.user_id AND a.ts = e.ts JOIN events b ON b.event_type = e.event_type AND b.ts = e.ts)",
+    "written_lines": f"SELECT 'V' AS file, {_USER} AS line FROM events UNION ALL SELECT 'V', {_KIND} FROM events UNION ALL SELECT 'E', line FROM ({_EDGE_LINES})",
+    "grouping_builder": _BUILT.triples_sql(),
+    "separate_tables": _BUILT.triples_sql(),
+    "derived_grouping_keys": _derived_sql(),
     "streaming_super_triples": _STREAM.triples_sql(),
+    "streaming_late_rows": _LATE.triples_sql(),
     "streaming_group_vertices": f"SELECT epoch_ms({_W1}) - 1 AS time_ms, parity, count(DISTINCT vid) AS n FROM {_EV} GROUP BY ALL",
 }

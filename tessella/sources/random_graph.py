@@ -1,4 +1,4 @@
-"""Random triples that a seed decides."""
+"""Random triples that a seed decides: draws are the first 28 bits of MD5, which any engine can repeat."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def _triples(numbered: DataFrame, vertex_labels: int, edge_labels: int, vertex_count: int, seed: int) -> DataFrame:
     """From (n, event_time). Labels are drawn for each occurrence, so one vertex may carry several."""
-    draw = lambda what, size: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "n"), F.lit(size))
-    letter = lambda c, at: F.chr(F.lit(97) + F.pmod(F.floor(F.pmod(F.xxhash64(F.lit(seed), c), F.lit(17576)) / 26**at), F.lit(26)).cast("int"))
+    bits = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), *[p.cast("string") for p in parts])), 1, 7), 16, 10).cast("long")
+    draw = lambda what, size: F.pmod(bits(F.lit(what), F.col("n")), F.lit(size))
+    letter = lambda c, at: F.chr((F.lit(97) + F.pmod(F.floor(bits(c) / 26**at), F.lit(26))).cast("int"))
 
     def label(what: str, size: int, kind: str) -> Column:
         c = F.concat(F.lit(kind), draw(what, size).cast("string"))

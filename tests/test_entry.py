@@ -54,6 +54,22 @@ def test_oracle(spark, name):
     assert tidy(map(tuple, got.select(*columns).collect())) == tidy(want.fetchall())
 
 
+@needs_data
+@pytest.mark.parametrize("name, table, exchanges, reused", [("super_triples", "events", 11, 2), ("trips_grouped", "lineitem", 12, 1), ("unique_edges", "lineitem", 14, 2)])
+def test_vertices_are_read_and_deduplicated_once(spark, name, table, exchanges, reused):
+    """With the vertices written, the plan reads the source for edges alone; both ends share the mapping's exchange."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = graph_queries.QUERIES[name](spark, str(SMALL))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert (plan.count(f"{table}.parquet"), plan.count(" Exchange "), plan.count("ReusedExchange")) == (1, exchanges, reused), plan
+    assert "explode" not in plan and "Python" not in plan
+
+
 def test_plans_have_no_python_and_prune_columns(spark):
     if not SMALL.exists():
         pytest.skip("the driver's tables are elsewhere")

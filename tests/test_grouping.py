@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import (
-    LABEL, AvgProperty, Count, CustomAggregate, GraphGrouping, GroupingBuilder, GroupingSpec, MaxProperty, MinProperty, PropertyGraph, SumProperty, WindowSpec,
+    LABEL, AvgProperty, Count, CustomAggregate, GraphGrouping, GroupingBuilder, GroupingKey, GroupingSpec, MaxProperty, MinProperty, PropertyGraph, SumProperty, WindowSpec,
 )
 from tessella.sources import triples_from_rows
 
@@ -236,3 +236,19 @@ def test_random_graphs_against_plain_python(spark):
         end = lambda v: (v.vertex_label, v.vertex_properties.b)
         got = sorted(str((window(r.event_time.astimezone()), r.label, end(r.source), end(r.target), r.properties["count"], r.properties.sum_x, r.source.vertex_properties["count"], r.target.vertex_properties.sum_a)) for r in out)
         assert got == want
+
+
+def test_computed_keys(demo):
+    """Keys made of label and properties, also through the builder, with the vertices written and without the join."""
+    size = GroupingKey("big", lambda label, value: F.coalesce(value("Size") > 12, F.lit(False)))
+    both = GroupingKey("what", lambda label, value: F.concat(F.lower(label), F.coalesce(value("Weekday"), F.lit("-"))))
+    spec = GroupingSpec((LABEL, size), (Count(),), (both,), (Count(),), WindowSpec(10))
+    shown = lambda g: sorted((r.source.vertex_label, r.source.vertex_properties.big, r.properties.what, r.properties["count"], r.target.vertex_properties.big) for r in g.triples().collect())
+    got = shown(demo.apply(GraphGrouping(spec)))
+    built = GroupingBuilder().add_vertex_grouping_key(LABEL).add_vertex_grouping_key(size).add_vertex_aggregate(Count()).add_edge_grouping_keys([both]).add_edge_aggregate(Count()).set_window_size(10)
+    assert got == shown(demo.apply(built.build())) == shown(demo.apply(GraphGrouping(GroupingSpec((LABEL, size), (Count(),), (both,), (Count(),), WindowSpec(10), write_vertices=True))))
+    plain = GroupingSpec((LABEL, size), (Count(),), (both,), (Count(),), WindowSpec(10), consistent_vertices=True)
+    assert {x[:3] for x in shown(demo.apply(GraphGrouping(plain)))} <= {x[:3] for x in got}
+    assert {x[1] for x in got} <= {True, False} and all(x[2].startswith(("impacts", "calculates")) for x in got)
+    with pytest.raises(ValueError):
+        GroupingSpec((size, "big"))
