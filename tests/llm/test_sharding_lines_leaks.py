@@ -148,3 +148,11 @@ def test_leaks(spark, part_bytes):
     assert decontam.find_leaks(df, bench.limit(0)).where("size(item_ids) > 0").count() == 0
     assert decontam.find_leaks(df.limit(0), bench).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_repeated_items_are_one(spark):
+    """A benchmark of one item 30,000 times is one item in one part."""
+    item = "these ten words are a whole item of the benchmark"
+    bench = spark.range(30_000).select(F.lit(1).alias("item_id"), F.lit(item).alias("text"))
+    got = decontam.find_leaks(spark.createDataFrame([(1, "so " + item), (2, "no")], "doc_id long, text string"), bench, part_bytes=1000).orderBy("doc_id").collect()
+    assert [(r.n_words, [tuple(s) for s in r.hit_spans], r.item_ids) for r in got] == [(11, [(1, 11)], ["1"]), (1, [], [])]
