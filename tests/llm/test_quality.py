@@ -134,6 +134,15 @@ def test_weights_against_plain_models(spark, with_bad):
     assert np.allclose(sorted(r.log_weight for r in out), weights, atol=0.5) and weights[0] < -3 and sum(abs(w) > 0.01 for w in weights) > 380
 
 
+def test_labels_are_bounded(spark):
+    docs = spark.range(5000).select(F.col("id").cast("string").alias("doc_id"))
+    some = quality._labels(docs, spark.range(4000).withColumnRenamed("id", "doc_id"), spark.range(3900, 5000), "doc_id", 1000).groupBy("said").count().collect()
+    got = {r.said: r["count"] for r in some}
+    assert 750 < got[quality.TARGET] <= 1000 and 700 < got[quality.BAD] <= 1000
+    every = quality._labels(docs, spark.range(4000), spark.range(3900, 5000), "doc_id", 10_000).groupBy("said").count().collect()
+    assert {r.said: r["count"] for r in every} == {quality.TARGET: 4000, quality.BAD: 1000}
+
+
 def test_models_sum_to_one():
     rng = np.random.default_rng(4)
     raw = rng.poisson(rng.gamma(0.3, 20, 5000))
