@@ -177,10 +177,11 @@ def _rare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     order of all shingles, have one in common. In the order from the rarest to the commonest among ``members`` a phrase
     that many share brings none of them together. Shingles of one component alone are left out.
     """
-    each = members.join(sets, members["rep"] == sets["id"]).select("rep", "n", "comp", F.explode("s").alias("g"))
+    own = members.join(sets, members["rep"] == sets["id"]).select("rep", "comp", F.size("s").cast("long").alias("n"), F.xxhash64("s").alias("sid"), "s")
+    each = own.select("rep", "comp", "n", "sid", F.explode("s").alias("g"))
     held = each.groupBy("g").agg(F.count(F.lit(1)).alias("d"), (F.min("comp") < F.max("comp")).alias("live"))
     first = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")
-    order = each.join(held, "g").groupBy("rep", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("d", "g", "live"))).alias("gs"))
+    order = each.join(held, "g").groupBy("rep", "comp", "n", "sid").agg(F.array_sort(F.collect_list(F.struct("d", "g", "live"))).alias("gs"))
     return order.select("rep", "n", "comp", F.explode(F.slice("gs", F.lit(1), first)).alias("x")).where("x.live").select(F.col("x.g").alias("token"), "rep", "n", "comp")
 
 
@@ -246,7 +247,7 @@ def near_duplicates(
     labelled = scratch.put(labelled.select("band", "rep", "n", F.coalesce("component", "rep").alias("comp")))
     open_bands = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     inside = scratch.put(labelled.join(open_bands, "band"))
-    rare = scratch.put(_rare(inside.select("rep", "n", "comp").distinct(), sets, percent))
+    rare = scratch.put(_rare(inside.select("rep", "comp").distinct(), sets, percent))
     near = scratch.put(inside.join(rare.select("rep").distinct(), "rep", "left_semi"))
     wide = scratch.put(near.groupBy("band").agg((F.count(F.lit(1)) > WIDE).alias("wide"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "wide"))
     whole = near.join(wide.where("not wide"), "band").select(F.lit(0).alias("by"), F.col("band").alias("key"), "rep", "n", "comp")
