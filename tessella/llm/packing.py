@@ -35,6 +35,18 @@ def byte_letters() -> dict[int, str]:
     return {c: chr(c) for c in plain} | {c: chr(256 + i) for i, c in enumerate(c for c in range(256) if c not in plain)}
 
 
+class Known(dict):
+    """Packed ids of each chunk, made when it is first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self[chunk] = self.encode(chunk)
+        return ids
+
+
 class Encoder:
     """Ids of whole texts, little-endian 32-bit, as the lower-casing word-level BPE tokenizer at ``path`` gives them.
 
@@ -46,8 +58,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), {}, byte_letters()
+        self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), Known(self.chunk), byte_letters()
         self.model = self.tokenizer.model
+        self.packed = [struct.pack("<I", i) for i in range(max(self.tokenizer.get_vocab().values(), default=0) + 1)]
 
     @staticmethod
     def of_worker(path: str) -> Encoder:
@@ -57,52 +70,30 @@ class Encoder:
             memory.__dict__[path] = Encoder(path)
         return memory.__dict__[path]
 
-    def whole(self, chunks: list[bytes]) -> None:
-        for c, e in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True):
-            self.known[c] = _pack(e.ids)
-
-    def learn(self, chunks: set[bytes]) -> None:
-        known, tokenize, letters, odd, signed = self.known, self.model.tokenize, self.letters, [], []
-        for c in chunks:
-            if c.isalpha():  # ASCII letters stand for themselves
-                known[c] = _pack([t.id for t in tokenize(c.lower().decode())])
-                continue
-            w = c.rstrip(SIGNS)
-            if len(w) < len(c):
-                signed.append((c, w, c[len(w) :]))
-            elif not self.word(c, c.decode(), tokenize, letters):
-                odd.append(c)
-        self.whole(odd)
-        odd = []
-        for c, w, s in signed:
-            if w not in known and w.isalpha():
-                known[w] = _pack([t.id for t in tokenize(w.lower().decode())])
-            if w not in known and not self.word(w, w.decode(), tokenize, letters):
-                odd.append(c)
-            elif not w or not w.decode()[-1:].isalpha():
-                odd.append(c)
-            else:
-                if s not in known:
-                    self.whole([s])
-                known[c] = known[w] + known[s]
-        self.whole(odd)
-
-    def word(self, key: bytes, text: str, tokenize, letters: dict[int, str]) -> bool:
-        if not text.isalpha() or max(text) >= "\u0300" or "\u0130" in text:
-            return False
-        self.known[key] = _pack([t.id for t in tokenize(text.lower().encode().decode("latin-1").translate(letters))])
-        return True
+    def chunk(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters stand for themselves
+            return self.word(chunk.lower().decode())
+        word = chunk.rstrip(SIGNS)
+        if len(word) < len(chunk):
+            if word.isalpha() or _simple(word.decode()):
+                return self.known[word] + self.known[chunk[len(word) :]]
+        elif _simple(text := chunk.decode()):
+            return self.word(text.lower().encode().decode("latin-1").translate(self.letters))
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids])
+
+    def word(self, letters: str) -> bytes:
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(letters)])
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
-        cut = [((t or b"") if COMPOSING.search(t or b"") else (t or b"").lower()).split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.learn(set().union(*cut).difference(self.known))
+        cut = [((t or b"") if COMPOSING.search(t or b"") else (t or b"").lower()).split() for t in texts]
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
 
-def _pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def _simple(text: str) -> bool:
+    """Letters that need no normalisation but lower case."""
+    return text.isalpha() and max(text) < "\u0300" and "\u0130" not in text
 
 
 def tokenise(df: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
