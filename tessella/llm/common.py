@@ -32,8 +32,9 @@ def scratch_root(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables written to the shared folder: they cut lineage and survive lost executors."""
 
-    #: Spark's own switch for deleting the shuffle files of a plan once it has run.
-    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    #: Spark's switches for deleting the shuffle files of a plan once it has run, and for tables of few files: partitions
+    #: of the advised size in place of one for each core, however little each holds.
+    SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.base, self.n = spark, f"{scratch_root(spark)}/tessella-{tag}-{uuid.uuid4().hex[:12]}", 0
@@ -42,12 +43,14 @@ class Scratch:
     def put(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it read back. No other plan reads the shuffle files of the write, so they go with its end."""
         path, self.n = f"{self.base}/{self.n}", self.n + 1
-        before = self.spark.conf.get(self.CLEAN, None)
-        self.spark.conf.set(self.CLEAN, "true")
+        before = {k: self.spark.conf.get(k, None) for k in self.SETTINGS}
         try:
+            for k, v in self.SETTINGS.items():
+                self.spark.conf.set(k, v)
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.unset(self.CLEAN) if before is None else self.spark.conf.set(self.CLEAN, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         if self.n == 1:
             self._file_system(path)[1].deleteOnExit(self._file_system(self.base)[0])  # with the driver, whatever is left goes
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -27,6 +27,12 @@ def test_scratch_tables_go_when_dropped(spark):
     assert left() == 2
     scratch.drop_all_but(tables[2])
     assert left() == 1 and tables[2].count() == 3
+    before = [spark.conf.get(k) for k in Scratch.SETTINGS]
+    small = scratch.put(spark.range(5000).groupBy(F.col("id") % 100).count())
+    assert small.count() == 100 and len(small.inputFiles()) == 1 and [spark.conf.get(k) for k in Scratch.SETTINGS] == before
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        scratch.put(spark.range(5).select((F.lit(1) / (F.col("id") - 2)).alias("x")))
+    assert [spark.conf.get(k) for k in Scratch.SETTINGS] == before
 
 
 @pytest.mark.parametrize("limit", [3, 10**6])
