@@ -20,6 +20,8 @@ from .wordhash import WordHashes, column, distinct, mix, sliding_min, spans, tex
 SLICES = 64
 #: So many times a word at once are n-grams of their own, whatever the word.
 RUNS = tuple(range(2, 9))
+#: Bytes whose n-grams are made at once.
+SPAN = 1 << 18
 #: What a document's labels make of it, if anything; also its row in the table of log ratios.
 TARGET, BAD = 1, 2
 #: A for ASCII capitals, 0 for digits, a for other letters and all bytes beyond ASCII; signs and white space stay.
@@ -55,15 +57,19 @@ def features(texts: list[bytes | None], hashes: ShapedHashes, bits: int, width:
         found.append((again, mix(np.full(len(again), n, np.uint64)) >> shift))
     low = [b" " + b" ".join((t or b"").translate(WORDS).split()) + b" " for t in texts]
     size = np.fromiter(map(len, low), np.int64, len(low))
-    data = np.frombuffer(b"".join(low), np.uint8).astype(np.uint64)
-    n = max(0, len(data) - width + 1)
-    grams = np.zeros(n, np.uint64)
-    for j in range(width):
-        grams |= data[j : j + n] << np.uint64(8 * j)
-    place = np.repeat(np.arange(len(low)), size)
-    inside = (np.arange(len(place)) + width <= np.cumsum(size)[place])[:n]
-    found.append((place[:n][inside], mix(grams[inside]) >> shift))
-    both = distinct(np.concatenate([r.astype(np.uint64) << np.uint64(bits) | b for r, b in found]))
+    data, place, ends = np.frombuffer(b"".join(low), np.uint8), np.repeat(np.arange(len(low), dtype=np.int32), size), np.cumsum(size)
+    marked = lambda r, b: r.astype(np.uint64) << np.uint64(bits) | b
+    runs = [distinct(np.concatenate([marked(r, b) for r, b in found]))]
+    for a in range(0, len(data) - width + 1, SPAN):
+        part = data[a : a + SPAN + width - 1].astype(np.uint64)
+        n = len(part) - width + 1
+        grams = np.zeros(n, np.uint64)
+        for j in range(width):
+            grams |= part[j : j + n] << np.uint64(8 * j)
+        own = place[a : a + n]
+        inside = np.arange(a + width, a + width + n) <= ends[own]
+        runs.append(distinct(marked(own[inside], mix(grams[inside]) >> shift)))
+    both = distinct(np.concatenate(runs))
     return (both >> np.uint64(bits)).astype(np.int64), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
@@ -162,7 +168,7 @@ def _labels(df: DataFrame, target_ids: DataFrame, bad_ids: DataFrame | None, id_
 
 def _weights(bits: int, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ratio = ShapedHashes(), model.value.astype(np.float64)
+        hashes, ratio = ShapedHashes(), model.value
         for batch in batches:
             texts, said, out = column(batch, "__text").to_pylist(), column(batch, "said").to_numpy(), []
             for a, b in text_chunks(texts):

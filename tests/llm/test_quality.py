@@ -68,6 +68,15 @@ def test_features_are_presence(spark):
     assert len(bucket[row == 4]) == 4 + len(quality.RUNS) and not (row == 2).any()
 
 
+def test_features_by_spans(monkeypatch):
+    """The same n-grams whether a chunk's bytes are taken at once or a few at a time."""
+    texts = [None, b"", b"a", b"ab cd " * 50, "é ñ ü Ünï 12!".encode() * 9, b"x" * 300, b"abcd", b"zz top " * 31]
+    whole = quality.features(texts, quality.ShapedHashes(), 20)
+    for span in (1, 7, 64, 1000):
+        monkeypatch.setattr(quality, "SPAN", span)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, quality.features(texts, quality.ShapedHashes(), 20), strict=True))
+
+
 def test_good_ids(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, 1, 0), (4, 0, 0), (5, None, None)], "doc_id long, quality int, toxic int")
     assert [r[0] for r in quality.good_ids(labels).collect()] == [1]
